@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import decontaminate, exact_dedup, language_id, mixing
+from rasterloom.llm import decontaminate, exact_dedup, language_id, mixing, ngram_join
 from rasterloom.llm.storage import crc_mod, read_table
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -38,7 +42,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op6_language_id, op7_mixing, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard, op5_exact_dedup, op6_language_id, op7_mixing, op9_decontaminate)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": """
