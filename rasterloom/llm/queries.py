@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, ngram_join, secrets
-from rasterloom.llm.storage import crc_mod, read_table
+from rasterloom.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, ngram_join, quality, secrets, token_counts
+from rasterloom.llm.storage import crc_mod, read_table, stage
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = stage(quality.document_statistics(read_table(spark, sf_dir, "documents")), "statistics")
+    labels = quality.clean_labels(read_table(spark, sf_dir, "labels")).where(crc_mod("doc_id", 5) != 0)
+    out = quality.score(stats, quality.fit(stats, labels))
+    return out.select(
+        "doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    )
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +41,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -72,7 +85,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_ngram_jaccard, op5_exact_dedup, op6_language_id, op7_mixing, op8_secrets, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_chat_format, op3_ngram_jaccard, op4_token_counts, op5_exact_dedup, op6_language_id, op7_mixing, op8_secrets, op9_decontaminate)}
 
 ORACLE_SQL = {
     "op2_chat_format": """
