@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, ngram_join, quality, secrets, token_counts
+from rasterloom.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, ngram_join, quality, secrets, suffix_dedup, token_counts
 from rasterloom.llm.storage import crc_mod, read_table, stage
 
 
@@ -85,7 +85,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_chat_format, op3_ngram_jaccard, op4_token_counts, op5_exact_dedup, op6_language_id, op7_mixing, op8_secrets, op9_decontaminate)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_chat_format, op3_ngram_jaccard, op4_token_counts, op5_exact_dedup, op6_language_id, op7_mixing, op8_secrets, op9_decontaminate, op10_suffix_dedup)}
 
 ORACLE_SQL = {
     "op2_chat_format": """

@@ -39,12 +39,12 @@ def crc_mod(column: str, k: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % k
 
 
-def id_bitmap(ids: DataFrame, column: str, bits: int) -> bytes:
-    """A bitmap of 2**bits bits over xxhash64 of a column. Its size does not depend on the input.
+def id_bitmap(ids: DataFrame, column: str, bits: int, hashed: bool = False) -> bytes:
+    """A bitmap of 2**bits bits over xxhash64 of a column (or over a hash that it holds). Its size is fixed.
 
     It may hold false positives, never false negatives: callers use it to thin rows before an exact join.
     """
-    h = F.pmod(F.xxhash64(column), F.lit(1 << bits))
+    h = F.pmod(F.col(column) if hashed else F.xxhash64(column), F.lit(1 << bits))
     parts = (
         ids.select((h + 1).alias("h"))
         .groupBy(F.bitmap_bucket_number("h").alias("b"))
