@@ -40,16 +40,28 @@ def scale_bands(v: Column, i: Column, inverse: bool = False) -> Column:
     return F.when(i % 2 == 0, v * low).otherwise(v * high)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _stage(row: Column, parity: int, change: Callable[[Column, Column], Column]) -> Column:
+    def step(v: Column, i: Column) -> Column:
+        before, after = F.get(row, i - 1), F.get(row, i + 1)
+        s = F.coalesce(before, after) + F.coalesce(after, before)
+        return F.when((i % 2 == parity) & s.isNotNull(), change(v, s)).otherwise(v)
+
+    return F.transform(row, step)
+
+
+def _bound_stage(value: Column, stage: Callable, parity: int, change: Callable[[Column, Column], Column]) -> Column:
+    return bound(value, lambda v: stage(v, parity, change))
+
+
 def lift_row(row: Column, stages: list[Stage]) -> Column:
     """Lift an array."""
     for parity, change in stages:
-
-        def step(v: Column, i: Column, row: Column = row, parity: int = parity, change=change) -> Column:
-            before, after = F.get(row, i - 1), F.get(row, i + 1)
-            s = F.coalesce(before, after) + F.coalesce(after, before)
-            return F.when((i % 2 == parity) & s.isNotNull(), change(v, s)).otherwise(v)
-
-        row = F.transform(row, step)
+        row = _bound_stage(row, _stage, parity, change)
     return row
 
 
@@ -57,31 +69,30 @@ def lift_rows(plane: Column, stages: list[Stage]) -> Column:
     return F.transform(plane, lambda row: lift_row(row, stages))
 
 
-def lift_columns(plane: Column, stages: list[Stage]) -> Column:
-    return transpose(lift_rows(transpose(plane), stages))
-
+def _column_stage(plane: Column, parity: int, change: Callable[[Column, Column], Column]) -> Column:
+    def step(row: Column, y: Column) -> Column:
+        above, below = F.get(plane, y - 1), F.get(plane, y + 1)
+        s = F.zip_with(F.coalesce(above, below), F.coalesce(below, above), lambda a, b: a + b)
+        return F.when((y % 2 == parity) & s.isNotNull(), F.zip_with(row, s, lambda v, t: change(v, t))).otherwise(row)
 
-def transpose(plane: Column) -> Column:
-    width = F.size(F.get(plane, F.lit(0)))
-    return F.transform(F.sequence(F.lit(0), width - 1), lambda x: F.transform(plane, lambda row: F.get(row, x)))
+    return F.transform(plane, step)
 
 
-def _materialised(df: DataFrame, steps: list[tuple[Callable, list[Stage]]]) -> DataFrame:
-    """One projection per axis, so that expressions do not nest into each other."""
-    for axis, stages in steps:
-        for stage in stages:
-            df = df.withColumn("plane", axis(F.col("plane"), [stage]))
-    return df
+def lift_columns(plane: Column, stages: list[Stage]) -> Column:
+    """Lift down the columns: whole rows are added to their neighbours."""
+    for parity, change in stages:
+        plane = _bound_stage(plane, _column_stage, parity, change)
+    return plane
 
 
 def analyse_planes(planes: DataFrame, stages: list[Stage] = FORWARD_53) -> DataFrame:
     """Columns first, then rows."""
-    return _materialised(planes, [(lift_columns, stages), (lift_rows, stages)])
+    return planes.withColumn("plane", lift_rows(lift_columns(F.col("plane"), stages), stages))
 
 
 def synthesise_planes(planes: DataFrame, stages: list[Stage] = INVERSE_53) -> DataFrame:
     """Rows first, then columns."""
-    return _materialised(planes, [(lift_rows, stages), (lift_columns, stages)])
+    return planes.withColumn("plane", lift_columns(lift_rows(F.col("plane"), stages), stages))
 
 
 def low_low(plane: Column) -> Column:
