@@ -5,8 +5,9 @@ is 0.8 or more. Documents with equal sets are one node. The join has four steps.
 
 1. Routing. The hash range is cut into segments and the n-grams of a segment form one key. Sets that link differ in few
    n-grams (a quarter of the smaller set at most), so they share a key among their first few in an order that both know
-   (full segments first): the pigeonhole principle, without loss. Nodes that share keys, directly or over others, form
-   a neighbourhood; only those with two nodes or more go on.
+   (full segments first): the pigeonhole principle, without loss. Nodes that share no key with others are done. The
+   n-grams of the rest are counted, and of each set those that are rarest among these nodes (a fifth and one) are kept,
+   by the same principle. Nodes that share a rare n-gram, directly or over others, form a neighbourhood.
 2. Signature trees. The nodes of a neighbourhood, ordered by size and smallest hash, are the leaves of a tree whose inner
    nodes hold the OR of the bitmaps below them and the range of sizes. A dual traversal from (root, root) drops pairs of
    tree nodes whose sizes are too far apart or whose bitmaps allow too small an overlap.
@@ -209,7 +210,7 @@ class SignatureTree:
 
 
 def _join_block(nodes: list[int], sets: list[np.ndarray], probe: list[bool] | None = None) -> list[tuple[int, int]]:
-    """Links that connect what the links among the sets connect. With probe, only pairs with a probing set count."""
+    """(node, smallest node that links reach). With probe, only pairs with a probing set are looked at."""
     count = len(nodes)
     order = sorted(range(count), key=lambda i: (len(sets[i]), int(sets[i][0]), nodes[i]))
     nodes, sets = [nodes[i] for i in order], [sets[i] for i in order]
@@ -230,9 +231,16 @@ def _join_block(nodes: list[int], sets: list[np.ndarray], probe: list[bool] | No
             parent[max(a, b)] = min(a, b)
             links.append((nodes[i], nodes[j]))
 
+    def stars() -> list[tuple[int, int]]:
+        least: dict[int, int] = {}
+        for i in range(count):
+            r = find(i)
+            least[r] = min(least.get(r, nodes[i]), nodes[i])
+        return [(nodes[i], least[find(i)]) for i in range(count) if nodes[i] != least[find(i)]]
+
     if count == 2:
         check(0, 1)
-        return links
+        return stars()
     tree = SignatureTree(sets)
     state = {"links": -1}
 
@@ -266,7 +274,7 @@ def _join_block(nodes: list[int], sets: list[np.ndarray], probe: list[bool] | No
     for i, j in tree.pairs(apart):
         if asks is None or asks[i] or asks[j]:
             check(i, j)
-    return links
+    return stars()
 
 
 def _join_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,27 +312,59 @@ def _block_links(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_join_sorted, "a long, b long")
 
 
-def _neighbourhoods(profile: DataFrame) -> DataFrame:
-    """(node, part) of the nodes that share routing keys with others."""
+def _rows_of(sent):
+    """(gram, node, n) for every n-gram of the documents in the bitmap."""
+    sets = _sets_of(sent, FILTER_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sets(batches):
+            buf, offs = buffers(batch.column(2))
+            size = np.diff(offs) // 8
+            for i in range(0, batch.num_rows, 256):
+                j = min(i + 256, batch.num_rows)
+                grams = np.frombuffer(buf[offs[i] : offs[j]].tobytes(), np.int64)
+                node = np.repeat(batch.column(1).to_numpy()[i:j], size[i:j])
+                n = np.repeat(size[i:j], size[i:j]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(node), pa.array(n)], ["gram", "node", "n"])
+
+    return run
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long").alias("doc_id")), F.lit(1 << FILTER_BITS))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), place.alias("at"), "text").where("doc_id IS NOT NULL")
+
+
+def _neighbourhoods(docs: DataFrame, profile: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(node, part) of the nodes that may link with others."""
+    spark = docs.sparkSession
     rows = profile.where("size(keys) > 0").select("node", F.explode("keys").alias("key"))
     w = Window.partitionBy("key")
     shared = rows.withColumn("low", F.min("node").over(w)).withColumn("high", F.max("node").over(w)).where("low <> high")
-    edges = shared.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    candidates = stage(shared.select("node").distinct().join(firsts, "node"), "candidates")
+    bitmap = spark.sparkContext.broadcast(id_bitmap(candidates, "doc_id", FILTER_BITS))
+    grams = _placed(docs).mapInArrow(_rows_of(bitmap), "gram long, node long, n int")
+    # n-grams of one node come first in the order; they take up places of the prefix but route nowhere.
+    grams = grams.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("df > 1")
+    by_node = Window.partitionBy("node").orderBy("df", "gram")
+    grams = grams.withColumn("rank", F.dense_rank().over(by_node))
+    kinds = F.max("rank").over(Window.partitionBy("node"))
+    need = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    prefix = grams.withColumn("kinds", kinds).where(F.col("rank") + F.col("n") - F.col("kinds") <= need)
+    by_gram = Window.partitionBy("gram")
+    tied = prefix.select("gram", "node").withColumn("low", F.min("node").over(by_gram)).where("node <> low")
+    edges = tied.select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     return components(edges).select("node", F.col("label").alias("part"))
 
 
-def _links(docs: DataFrame, profile: DataFrame) -> DataFrame | None:
-    """Links (a, b) between nodes that connect all that link; None if no two nodes share a key."""
+def _labels(docs: DataFrame, profile: DataFrame) -> DataFrame:
+    """(node, label) of the nodes that link with others: label is the smallest node that links reach."""
     spark = docs.sparkSession
-    parts = stage(_neighbourhoods(profile), "neighbourhoods")
-    if parts.isEmpty():
-        return None
     firsts = profile.where("node >= 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    parts = _neighbourhoods(docs, profile, firsts)
     wanted = stage(parts.join(firsts, "node"), "wanted")
     bitmap = spark.sparkContext.broadcast(id_bitmap(wanted, "doc_id", FILTER_BITS))
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long").alias("doc_id")), F.lit(1 << FILTER_BITS))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), place.alias("at"), "text").where("doc_id IS NOT NULL")
-    found = found.mapInArrow(_sets_of(bitmap, FILTER_BITS), "doc_id long, node long, grams binary")
+    found = _placed(docs).mapInArrow(_sets_of(bitmap, FILTER_BITS), "doc_id long, node long, grams binary")
     sized = wanted.groupBy("part").agg(F.sum("n").alias("total"))
     blocks = (F.floor(F.col("total") / BLOCK_NGRAMS) + 1).cast("int")
     wanted = wanted.join(sized.select("part", blocks.alias("blocks")), "part")
@@ -334,7 +374,7 @@ def _links(docs: DataFrame, profile: DataFrame) -> DataFrame | None:
     plain = members.withColumn("block", block).withColumn("probe", F.lit(None).cast("boolean"))
     large = members.where("blocks > 1")
     if large.isEmpty():
-        return stage(_block_links(plain), "links")
+        return stage(_block_links(plain).select(F.col("a").alias("node"), F.col("b").alias("label")), "labels")
     pivot_of = large.groupBy("part").agg(F.min("node").alias("pivot"))
     pivots = large.join(pivot_of, "part").where("node = pivot")
     pivots = pivots.withColumn("own", block).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).where("block <> own")
@@ -346,7 +386,7 @@ def _links(docs: DataFrame, profile: DataFrame) -> DataFrame | None:
     main = labelled.join(pivot_of, "part").where("node = pivot").select("part", F.col("label").alias("main"))
     rest = stage(labelled.join(main, "part").where("label <> main").select("part", "node", "n", "grams"), "rest")
     if rest.isEmpty():
-        return links
+        return labels
     # What the pivots did not connect goes to every block whose sizes fit, and is compared with all that is there.
     ranges = plain.where("blocks > 1").groupBy("part", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     sent = rest.alias("r").join(ranges.alias("g"), "part").where("100 * g.low <= 125 * r.n AND 100 * r.n <= 125 * g.high")
@@ -357,22 +397,18 @@ def _links(docs: DataFrame, profile: DataFrame) -> DataFrame | None:
     there = there.withColumn("probe", F.lit(False)).join(slices, ["part", "block"])
     name = (F.col("block") * 64 + F.col("slice")).cast("int")
     both = chunked.withColumn("block", name).select(cols).unionByName(there.withColumn("block", name).select(cols))
-    return stage(links.unionByName(_block_links(both)), "links")
+    return components(stage(links.unionByName(_block_links(both)), "links"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest id that links reach)."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = stage(source.mapInArrow(_profile, "doc_id long, n long, node long, keys array<long>"), "profile")
-    links = _links(docs, profile)
     nodes = profile.where("node >= 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    if links is None:
-        named = nodes.select("node", F.col("least").alias("component_id"))
-    else:
-        labelled = nodes.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        labelled = stage(labelled, "labelled")
-        lowest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-        named = labelled.join(lowest, "label").select("node", "component_id")
+    labelled = nodes.join(_labels(docs, profile), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = stage(labelled, "labelled")
+    lowest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = stage(labelled.join(lowest, "label").select("node", "component_id"), "named")
     out = profile.select("doc_id", "n", "node").join(named, "node", "left")
     component = F.when(F.col("node") < 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
