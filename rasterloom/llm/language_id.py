@@ -102,14 +102,18 @@ class Model:
         for lang in self.langs:
             symbols = self.symbols(*self.codes([self.samples[lang]]))[0].tolist()
             go = suffix_automaton(symbols)
-            t = np.full((len(go), self.width), -1, np.int32)
+            # Two more rows: after a character that the sample lacks, and before the first one.
+            lost, start = (base + r * self.width for r in (len(go), len(go) + 1))
+            t = np.full((len(go) + 2, self.width), -1, np.int32)
             for s, out in enumerate(go):
                 for c, to in out.items():
                     t[s, c] = (base + to * self.width) << 1
             # A phrase ends where there is no transition; the next begins with this character, from the root.
-            fresh = np.where(t[0] < 0, base << 1, t[0]) | 1
-            tables.append(np.where(t < 0, fresh, t).ravel())
-            self.roots.append(base)
+            first = np.where(t[0] < 0, lost << 1, t[0])
+            t = np.where(t < 0, first | 1, t)
+            t[-1] = first
+            tables.append(t.ravel())
+            self.roots.append(start)
             self.scale.append(math.log2(max(2, len(symbols))))
             base += t.size
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
