@@ -159,6 +159,8 @@ class BlockCoder:
         self.refined: set[tuple[int, int]] = set()
 
     def _near(self, y: int, x: int) -> tuple[int, int, int]:
+        if not self.sign:
+            return 0, 0, 0
         on = self.sign.__contains__
         h = on((y, x - 1)) + on((y, x + 1))
         v = on((y - 1, x)) + on((y + 1, x))

@@ -5,20 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterloom.operators import entropy, wavelet
+from rasterloom.operators import codestream, entropy, rate, wavelet
 from rasterloom.plans.registry import PLANES, query
 from rasterloom.sources import raster_files
-from rasterloom.sources.signals import plane_samples, planes, read_table
+from rasterloom.sources.signals import plane_samples, planes, read_table, spread
 from rasterloom.streaming import delivery
 
 
 @query(f"WITH {PLANES} SELECT vec_id, y, x, v FROM sig")
 def q_block_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """5/3 analysis, bit-plane coding, decoding and synthesis of every plane."""
-    coded = entropy.encode_blocks(wavelet.analyse_planes(planes(spark, sf_dir)), "vec_id", "plane")
+    coded = entropy.encode_blocks(spread(wavelet.analyse_planes(planes(spark, sf_dir))), "vec_id", "plane")
     return plane_samples(wavelet.synthesise_planes(entropy.decode_blocks(coded, "vec_id")))
 
 
@@ -59,3 +59,84 @@ def q_framing(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = rows.groupBy("user_id").agg(F.unhex(F.array_join(F.transform(parts, lambda p: p["m"]), "")).alias("body"))
     out = delivery.decode_responses(whole.select("user_id", F.concat("body", delivery.end_bytes()).alias("payload")), "user_id", "payload")
     return out.select("user_id", "ordinal", "class", "id", "offset", "final", F.decode("data", "UTF-8").alias("text"))
+
+
+_RGB = f"WITH {PLANES}, rgb AS (SELECT vec_id, c, y, x, [v + 128, 127 - v, abs(v)][c + 1] AS v FROM sig, range(3) t(c))"
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+    def each(change) -> Column:
+        return F.transform("plane", lambda row: F.transform(row, lambda v: change(v)))
+
+    rgb = F.array(each(lambda v: v + 128), each(lambda v: 127 - v), each(F.abs))
+    return spread(planes(spark, sf_dir).select("vec_id", rgb.alias("image")))
+
+
+def _samples(images: DataFrame) -> DataFrame:
+    rows = images.select("vec_id", F.posexplode("planes").alias("c", "plane")).select("vec_id", "c", F.posexplode("plane").alias("y", "row"))
+    return rows.select("vec_id", "c", "y", F.posexplode("row").alias("x", "v"))
+
+
+@query(f"{_RGB} SELECT vec_id, c, y, x, v FROM rgb")
+def q_codestream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images to lossless codestreams and back."""
+    return _samples(codestream.decode_images(codestream.encode_images(_images(spark, sf_dir), "vec_id", "image"), "vec_id"))
+
+
+@query(f"{_RGB} SELECT vec_id, CASE c WHEN 2 THEN 0 ELSE 1 END AS c, y - 2 AS y, x - 3 AS x, v FROM rgb WHERE c IN (2, 0) AND y BETWEEN 2 AND 5 AND x BETWEEN 3 AND 5")
+def q_codestream_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window of two components, in the order asked for, of a tiled stream: only the tiles it touches are decoded."""
+    streams = codestream.encode_images(_images(spark, sf_dir), "vec_id", "image", tile=4)
+    return _samples(codestream.decode_images(streams, "vec_id", region=(3, 2, 3, 4), components=[2, 0]))
+
+
+@query("SELECT vec_id, 8 AS width, 8 AS height, 3 AS components, 8 AS bits, 2 AS levels, true AS colour, true AS supported FROM embeddings")
+def q_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codestream.inspect_images(codestream.encode_images(_images(spark, sf_dir), "vec_id", "image"), "vec_id")
+
+
+@query("SELECT vec_id, t AS tile, t = 0 AS first, true AS chained FROM embeddings, range(4) r(t)")
+def q_tile_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tile bodies by one pass over headers; each begins 14 bytes after the one before ends."""
+    streams = codestream.encode_images(_images(spark, sf_dir), "vec_id", "image", tile=4)
+    before = F.lag("stop").over(Window.partitionBy("vec_id").orderBy("tile"))
+    index = codestream.index_tiles(streams, "vec_id").withColumn("before", before)
+    return index.select("vec_id", "tile", F.col("before").isNull().alias("first"), F.coalesce(F.col("start") == F.col("before") + 14, F.lit(True)).alias("chained"))
+
+
+@query("SELECT p_partkey, substr(p_name, 2, 3) AS part, 1 + 3 <= strlen(p_name) AS inside FROM part")
+def q_subrange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A checked window of bytes over a payload."""
+    p = read_table(spark, sf_dir, "part").select("p_partkey", F.encode("p_name", "UTF-8").alias("payload"))
+    return p.select("p_partkey", F.decode(F.substring("payload", 2, 3), "UTF-8").alias("part"), (F.octet_length("payload") >= 4).alias("inside"))
+
+
+@query()
+def q_rate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The finest quantisation of each 9/7 plane that fits 40 bytes."""
+    coded = spread(wavelet.analyse_planes(planes(spark, sf_dir, whole=False), wavelet.FORWARD_97))
+    return rate.search_planes(coded, "vec_id", "plane", 40)
+
+
+@query(
+    """WITH d AS (SELECT user_id, event_id % 40 AS id, min(event_id) AS place FROM events GROUP BY ALL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY place) AS n FROM d)
+    SELECT user_id, id, 0 AS start, 50 AS stop, true AS final FROM o WHERE n <= 3"""
+)
+def q_deliver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered demands answered up to a number of messages; each bin here has 50 bytes and fits one."""
+    e = read_table(spark, sf_dir, "events").groupBy("user_id", (F.col("event_id") % 40).alias("id")).agg(F.min("event_id").alias("at"))
+    asked = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda d: d["id"]).alias("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for user, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sent, _ = delivery.deliver([((0, i), None) for i in ids], dict.fromkeys(((0, i) for i in ids), 50), {}, 100_000, 64, 3)
+                rows += [(user, key[1], a, b, final) for key, a, b, final in sent]
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["user_id", "id", "start", "stop", "final"])
+
+    return asked.mapInArrow(run, "user_id long, id long, start int, stop int, final boolean")

@@ -10,6 +10,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, where its files give fewer: for kernels that cost far more than a
+    shuffle of their input."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, i, v): each user's values, rounded, in event order."""
     e = read_table(spark, sf_dir, "events").select("user_id", "event_id", F.round("value").cast("long").alias("v"))
