@@ -31,6 +31,9 @@ INITIAL = {0: 4, RUN: 3, UNIFORM: 46}
 
 class _Contexts:
     def __init__(self) -> None:
+        self.reset()
+
+    def reset(self) -> None:
         self.state = [INITIAL.get(k, 0) for k in range(CONTEXTS)]
         self.likely = [0] * CONTEXTS
 
@@ -46,6 +49,10 @@ class _Contexts:
 class Encoder(_Contexts):
     def __init__(self) -> None:
         super().__init__()
+        self.start()
+
+    def start(self) -> None:
+        """Begin a codeword; contexts stay as they are."""
         self.a, self.c, self.count, self.out = 0x8000, 0, 12, bytearray([0])
 
     def encode(self, cx: int, bit: int) -> None:
@@ -98,6 +105,9 @@ class Encoder(_Contexts):
 class Decoder(_Contexts):
     def __init__(self, data: bytes) -> None:
         super().__init__()
+        self.start(data)
+
+    def start(self, data: bytes) -> None:
         self.data, self.at, self.a = data, 0, 0x8000
         self.c, self.count = self._peek(0) << 16, 0
         self._byte()
@@ -146,14 +156,69 @@ class Decoder(_Contexts):
                 return bit
 
 
+class RawWriter:
+    """Bits as they are; after a byte of ones, one bit is left out."""
+
+    def __init__(self) -> None:
+        self.out, self.held, self.left = bytearray(), 0, 8
+
+    def put(self, bit: int) -> None:
+        self.left -= 1
+        self.held |= bit << self.left
+        if not self.left:
+            self.out.append(self.held)
+            self.held, self.left = 0, 7 if self.held == 0xFF else 8
+
+    def finish(self) -> bytes:
+        fill = 0
+        while self.left < (7 if self.out and self.out[-1] == 0xFF else 8):
+            self.put(fill)
+            fill ^= 1
+        return bytes(self.out[:-1] if self.out and self.out[-1] == 0xFF else self.out)
+
+
+class RawReader:
+    def __init__(self, data: bytes) -> None:
+        self.data, self.at, self.held, self.left = data, 0, 0, 0
+
+    def get(self) -> int:
+        if not self.left:
+            full = self.held == 0xFF and self.at > 0
+            self.held = self.data[self.at] if self.at < len(self.data) else 0xFF
+            self.at, self.left = self.at + 1, 7 if full else 8
+        self.left -= 1
+        return self.held >> self.left & 1
+
+
+#: Block styles and their flags.
+STYLES = {"bypass": 0x01, "reset": 0x02, "terminate": 0x04, "causal": 0x08, "segmentation": 0x20}
+
+
+def segment_lengths(passes: int, style: frozenset[str]) -> list[int]:
+    """Passes of each codeword segment of a block."""
+    if "terminate" in style:
+        return [1] * passes
+    if "bypass" not in style:
+        return [passes]
+    out, at = [], 0
+    while at < passes:
+        n = 10 - at if at < 10 else 2 if (at - 10) % 3 == 0 else 1
+        out.append(min(n, passes - at))
+        at += n
+    return out
+
+
 class BlockCoder:
     """The three passes over a block of signed coefficients, for encoding and for decoding.
 
-    `bit(context, value)` codes a decision and returns it: an encoder is given the value, a decoder finds it.
+    `port.bit(context, value)` codes a decision and returns it: an encoder is given the value, a decoder finds it.
+    `port.begin(pass)` says whether the pass is raw, `port.end(pass)` closes it.
     """
 
-    def __init__(self, width: int, height: int, band: str, bit):
-        self.w, self.h, self.band, self.bit = width, height, band, bit
+    def __init__(self, width: int, height: int, band: str, port, style: frozenset[str] = frozenset()):
+        self.w, self.h, self.band, self.port, self.style = width, height, band, port, style
+        self.causal = "causal" in style
+        self.raw = False
         self.sign: dict[tuple[int, int], int] = {}
         self.size: dict[tuple[int, int], int] = {}
         self.refined: set[tuple[int, int]] = set()
@@ -163,8 +228,11 @@ class BlockCoder:
             return 0, 0, 0
         on = self.sign.__contains__
         h = on((y, x - 1)) + on((y, x + 1))
-        v = on((y - 1, x)) + on((y + 1, x))
-        d = on((y - 1, x - 1)) + on((y - 1, x + 1)) + on((y + 1, x - 1)) + on((y + 1, x + 1))
+        v = on((y - 1, x))
+        d = on((y - 1, x - 1)) + on((y - 1, x + 1))
+        if not (self.causal and y % 4 == 3):
+            v += on((y + 1, x))
+            d += on((y + 1, x - 1)) + on((y + 1, x + 1))
         return h, v, d
 
     def _zero_context(self, y: int, x: int) -> int:
@@ -180,19 +248,17 @@ class BlockCoder:
             return 7 if v else 6 if d else 5
         return 2 + v if v else min(d, 2)
 
-    def _code_sign(self, y: int, x: int, value: int) -> None:
-        s = lambda p: 0 if p not in self.sign else -1 if self.sign[p] else 1
-        h = max(-1, min(1, s((y, x - 1)) + s((y, x + 1))))
-        v = max(-1, min(1, s((y - 1, x)) + s((y + 1, x))))
-        context, flip = SIGN_CONTEXTS[h, v]
-        self.sign[y, x] = self.bit(context, (value < 0) ^ flip) ^ flip
-
-    def _significance(self, y: int, x: int, plane: int, value: int) -> None:
-        if self.bit(self._zero_context(y, x), abs(value) >> plane & 1):
-            self._become(y, x, plane, value)
-
     def _become(self, y: int, x: int, plane: int, value: int) -> None:
-        self._code_sign(y, x, value)
+        """Code the sign of a coefficient that turns significant."""
+        if self.raw:
+            self.sign[y, x] = self.port.bit(0, int(value < 0))
+        else:
+            s = lambda p: 0 if p not in self.sign else -1 if self.sign[p] else 1
+            below = 0 if self.causal and y % 4 == 3 else s((y + 1, x))
+            h = max(-1, min(1, s((y, x - 1)) + s((y, x + 1))))
+            v = max(-1, min(1, s((y - 1, x)) + below))
+            context, flip = SIGN_CONTEXTS[h, v]
+            self.sign[y, x] = self.port.bit(context, int(value < 0) ^ flip) ^ flip
         self.size[y, x] = 1 << plane
 
     def _stripes(self) -> Iterator[tuple[int, int, int]]:
@@ -200,64 +266,155 @@ class BlockCoder:
             for x in range(self.w):
                 yield top, min(top + 4, self.h), x
 
+    def _significance(self, plane: int, value, done: set) -> None:
+        for top, end, x in self._stripes():
+            for y in range(top, end):
+                if (y, x) not in self.sign and any(self._near(y, x)):
+                    done.add((y, x))
+                    if self.port.bit(self._zero_context(y, x), abs(value(y, x)) >> plane & 1):
+                        self._become(y, x, plane, value(y, x))
+
+    def _refinement(self, plane: int, value, done: set) -> None:
+        for top, end, x in self._stripes():
+            for y in range(top, end):
+                if (y, x) in self.sign and (y, x) not in done:
+                    context = 16 if (y, x) in self.refined else 15 if any(self._near(y, x)) else 14
+                    if self.port.bit(context, abs(value(y, x)) >> plane & 1):
+                        self.size[y, x] += 1 << plane
+                    self.refined.add((y, x))
+
+    def _cleanup(self, plane: int, value, done: set) -> None:
+        bit = self.port.bit
+        for top, end, x in self._stripes():
+            y = top
+            quiet = end - top == 4 and all((k, x) not in self.sign and (k, x) not in done and not any(self._near(k, x)) for k in range(top, end))
+            if quiet:
+                first = next((k for k in range(4) if abs(value(top + k, x)) >> plane & 1), None)
+                if not bit(RUN, int(first is not None)):
+                    continue
+                k = bit(UNIFORM, (first or 0) >> 1) << 1
+                k |= bit(UNIFORM, (first or 0) & 1)
+                self._become(top + k, x, plane, value(top + k, x))
+                y = top + k + 1
+            for y in range(y, end):
+                if (y, x) not in self.sign and (y, x) not in done and bit(self._zero_context(y, x), abs(value(y, x)) >> plane & 1):
+                    self._become(y, x, plane, value(y, x))
+        if "segmentation" in self.style and [bit(UNIFORM, b) for b in (1, 0, 1, 0)] != [1, 0, 1, 0]:
+            raise ValueError("a segmentation symbol is damaged")
+
     def run(self, planes: int, values=None) -> dict[tuple[int, int], int]:
         """Codes all planes, the highest with a cleanup pass only; returns the coefficients that are not 0."""
         value = (lambda y, x: 0) if values is None else (lambda y, x: values[y][x])
+        number = 0
         for plane in range(planes - 1, -1, -1):
             done: set[tuple[int, int]] = set()
-            if plane < planes - 1:
-                for top, end, x in self._stripes():
-                    for y in range(top, end):
-                        if (y, x) not in self.sign and any(self._near(y, x)):
-                            done.add((y, x))
-                            self._significance(y, x, plane, value(y, x))
-                for top, end, x in self._stripes():
-                    for y in range(top, end):
-                        if (y, x) in self.sign and (y, x) not in done:
-                            context = 16 if (y, x) in self.refined else 15 if any(self._near(y, x)) else 14
-                            if self.bit(context, abs(value(y, x)) >> plane & 1):
-                                self.size[y, x] += 1 << plane
-                            self.refined.add((y, x))
-            for top, end, x in self._stripes():
-                y = top
-                quiet = end - top == 4 and all((k, x) not in self.sign and (k, x) not in done and not any(self._near(k, x)) for k in range(top, end))
-                if quiet:
-                    first = next((k for k in range(4) if abs(value(top + k, x)) >> plane & 1), None)
-                    if not self.bit(RUN, int(first is not None)):
-                        continue
-                    k = self.bit(UNIFORM, (first or 0) >> 1) << 1
-                    k |= self.bit(UNIFORM, (first or 0) & 1)
-                    self._become(top + k, x, plane, value(top + k, x))
-                    y = top + k + 1
-                for y in range(y, end):
-                    if (y, x) not in self.sign and (y, x) not in done:
-                        self._significance(y, x, plane, value(y, x))
+            steps = [self._significance, self._refinement, self._cleanup]
+            for step in steps if plane < planes - 1 else steps[2:]:
+                self.raw = self.port.begin(number)
+                step(plane, value, done)
+                self.port.end(number)
+                number += 1
         return {p: -s if self.sign[p] else s for p, s in self.size.items()}
 
 
-def encode_block(values: list[list[int]], band: str = "LL") -> tuple[int, bytes]:
-    """Planes and bytes of a block; a block of zeros has none."""
-    planes = max(abs(v) for row in values for v in row).bit_length()
-    if not planes:
-        return 0, b""
-    coder = Encoder()
+class _Port:
+    """Changes between codeword segments at the passes where a style ends them."""
 
-    def bit(context: int, value: int) -> int:
-        coder.encode(context, int(value))
-        return int(value)
+    def __init__(self, passes: int, style: frozenset[str]):
+        self.style, self.lengths = style, segment_lengths(passes, style)
+        self.starts = {sum(self.lengths[:k]): k for k in range(len(self.lengths))}
+        self.ends = {sum(self.lengths[: k + 1]) - 1 for k in range(len(self.lengths))}
 
-    BlockCoder(len(values[0]), len(values), band, bit).run(planes, values)
-    return planes, coder.finish()
+    def is_raw(self, number: int) -> bool:
+        return "bypass" in self.style and number >= 10 and number % 3 != 0
 
 
-def decode_block(width: int, height: int, planes: int, data: bytes, band: str = "LL") -> list[list[int]]:
+class _WritePort(_Port):
+    def __init__(self, passes: int, style: frozenset[str]):
+        super().__init__(passes, style)
+        self.coder, self.writer, self.segments = Encoder(), None, []
+
+    def begin(self, number: int) -> bool:
+        raw = self.is_raw(number)
+        if number in self.starts:
+            self.writer = RawWriter() if raw else None
+            if not raw:
+                self.coder.start()
+        return raw
+
+    def bit(self, context: int, value: int) -> int:
+        if self.writer is not None:
+            self.writer.put(value)
+        else:
+            self.coder.encode(context, value)
+        return value
+
+    def end(self, number: int) -> None:
+        if number in self.ends:
+            self.segments.append(self.coder.finish() if self.writer is None else self.writer.finish())
+        if "reset" in self.style:
+            self.coder.reset()
+
+
+class _ReadPort(_Port):
+    def __init__(self, passes: int, style: frozenset[str], segments: list[bytes]):
+        super().__init__(passes, style)
+        if len(segments) != len(self.lengths):
+            raise ValueError("segments are missing or too many")
+        self.segments, self.coder, self.reader = segments, Decoder(b""), None
+
+    def begin(self, number: int) -> bool:
+        raw = self.is_raw(number)
+        if number in self.starts:
+            data = self.segments[self.starts[number]]
+            self.reader = RawReader(data) if raw else None
+            if not raw:
+                self.coder.start(data)
+        return raw
+
+    def bit(self, context: int, _: int) -> int:
+        return self.coder.decode(context) if self.reader is None else self.reader.get()
+
+    def end(self, number: int) -> None:
+        if "reset" in self.style:
+            self.coder.reset()
+
+
+def _checked(style) -> frozenset[str]:
+    if unknown := set(style) - set(STYLES):
+        raise ValueError(f"unsupported styles {sorted(unknown)}")
+    return frozenset(style)
+
+
+def encode_segments(values: list[list[int]], band: str = "LL", style=()) -> tuple[int, list[bytes]]:
+    """Planes and codeword segments of a block; a block of zeros has none."""
+    planes = max(abs(v) for row in values for v in row).bit_length()
+    if not planes:
+        return 0, []
+    style = _checked(style)
+    port = _WritePort(3 * planes - 2, style)
+    BlockCoder(len(values[0]), len(values), band, port, style).run(planes, values)
+    return planes, port.segments
+
+
+def decode_segments(width: int, height: int, planes: int, segments: list[bytes], band: str = "LL", style=()) -> list[list[int]]:
     found = {}
     if planes:
-        coder = Decoder(data)
-        found = BlockCoder(width, height, band, lambda context, _: coder.decode(context)).run(planes)
+        style = _checked(style)
+        found = BlockCoder(width, height, band, _ReadPort(3 * planes - 2, style, segments), style).run(planes)
     return [[found.get((y, x), 0) for x in range(width)] for y in range(height)]
 
 
+def encode_block(values: list[list[int]], band: str = "LL") -> tuple[int, bytes]:
+    """Planes and bytes of a block without styles."""
+    planes, segments = encode_segments(values, band)
+    return planes, segments[0] if segments else b""
+
+
+def decode_block(width: int, height: int, planes: int, data: bytes, band: str = "LL") -> list[list[int]]:
+    return decode_segments(width, height, planes, [data], band)
+
+
 def encode_blocks(blocks: DataFrame, key: str, block: str) -> DataFrame:
     """(key, width, height, planes, data) from rows of blocks (arrays of rows of whole numbers)."""
     kind = blocks.schema[key].dataType.simpleString()

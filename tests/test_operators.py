@@ -118,6 +118,25 @@ def test_block_coding_round_trip(band):
             assert entropy.decode_block(w, h, planes, data, band) == v
 
 
+@pytest.mark.parametrize("style", [("bypass",), ("terminate",), ("bypass", "terminate"), ("reset",), ("causal",), ("segmentation",), ("bypass", "reset", "causal", "segmentation")])
+def test_block_styles_round_trip(style):
+    rng = random.Random(9)
+    for w, h in [(4, 4), (7, 13)]:
+        for scale in (1, 40, 30_000):
+            v = [[rng.randint(-scale, scale) if rng.random() < 0.6 else 0 for _ in range(w)] for _ in range(h)]
+            planes, segments = entropy.encode_segments(v, "HL", style)
+            assert entropy.decode_segments(w, h, planes, segments, "HL", style) == v
+            assert sum(entropy.segment_lengths(3 * planes - 2, frozenset(style))) == 3 * planes - 2
+
+
+def test_block_style_refusals():
+    with pytest.raises(ValueError, match="unsupported styles"):
+        entropy.encode_segments([[5]], style=("predictable",))
+    planes, segments = entropy.encode_segments([[500] * 4] * 4, style=("terminate",))
+    with pytest.raises(ValueError, match="segments"):
+        entropy.decode_segments(4, 4, planes, segments[:-1], style=("terminate",))
+
+
 def test_contexts_of_expressions_and_of_the_coder_agree(spark):
     rows = [(b, h, v, d) for b in ("LL", "HL", "LH", "HH") for h in range(3) for v in range(3) for d in range(5)]
     df = spark.createDataFrame(rows, "b string, h int, v int, d int")
