@@ -15,8 +15,10 @@ exactly one:
 4. Strings that are neighbours in suffix order and agree in LENGTH bytes, compared byte by byte, are repeated.
 
 Equal texts are found by digest first: all their bytes go, and one text stands for them against the others. A sample that
-more than GROUP ranges own (the edge of a passage that countless documents share) is not sorted in one task: its strings
-are counted by name instead, in a partially combined aggregation.
+more than GROUP ranges own (the edge of a passage that countless documents share) is not sorted in one task: its ranges
+are cut into runs of RUN neighbouring offsets from the sample, and a run meets only those that agree in all the bytes that
+its strings have in common. Of equal runs one is kept, and what is still crowded is counted string by string, by name, in
+a partially combined aggregation.
 
 Texts are UTF-8 bytes; null counts as empty. Texts of fewer than LENGTH bytes lose nothing. Repeated rows are copies of
 each other. Empty tables give an empty result. Other columns are not looked at. Very long texts are handled in pieces.
@@ -41,7 +43,9 @@ SPAN = LENGTH - PIECE + 1
 #: Bytes of a long text that are handled at once.
 STRETCH = 1 << 22
 #: Ranges of one sample that are sorted in one task, and bytes of one suffix sort.
-GROUP, BLOCK = 512, 1 << 20
+GROUP, BLOCK = 512, 1 << 18
+#: Offsets of a run, and the different runs with equal common bytes that are sorted in one task.
+RUN, RUNS = 38, 4096
 FILTER_BITS = 24
 
 
@@ -112,7 +116,7 @@ def _sums(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ranges(buf: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Row, first start, last start, sample name and name of the spanned bytes of each range of starts.
+    """Row, first start, last start, gap to the sample, its name and that of the spanned bytes of each range of starts.
 
     The strings of row r start at first[r] .. last[r] of buf.
     """
@@ -143,7 +147,7 @@ def ranges(buf: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.nda
     spanned = (total[hi + LENGTH] - total[lo]) * back[lo]
     spanned = mix(mix(spanned + size) + (at - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     row = np.searchsorted(first, lo, "right") - 1
-    return row, lo, hi, mix(h[at]), spanned
+    return row, lo, hi, at - lo, mix(h[at]), spanned
 
 
 def text_name(text: bytes | memoryview) -> int:
@@ -171,18 +175,18 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if j - i == 1 and len(buf) > STRETCH and fresh:
                 for x in range(0, len(buf) - LENGTH + 1, STRETCH):
                     piece = buf[x : x + STRETCH + LENGTH - 1]
-                    _, lo, hi, name, spanned = ranges(piece, np.array([0]), np.array([len(piece) - LENGTH]))
-                    parts.append((np.zeros(len(lo), np.int64), lo + x, hi + x, name, spanned))
+                    _, lo, hi, gap, name, spanned = ranges(piece, np.array([0]), np.array([len(piece) - LENGTH]))
+                    parts.append((np.zeros(len(lo), np.int64), lo + x, hi + x, gap, name, spanned))
             elif fresh:
                 rows = np.array(fresh)
-                row, lo, hi, name, spanned = ranges(buf, offs[rows], offs[rows + 1] - LENGTH)
+                row, lo, hi, gap, name, spanned = ranges(buf, offs[rows], offs[rows + 1] - LENGTH)
                 row = rows[row]
-                parts.append((row, lo - offs[row], hi - offs[row], name, spanned))
-            row, lo, hi, name, spanned = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (empty,) * 5
+                parts.append((row, lo - offs[row], hi - offs[row], gap, name, spanned))
+            row, lo, hi, gap, name, spanned = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (empty,) * 6
             ends = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
             item = pa.StructArray.from_arrays(
-                [pa.array(name.view(np.int64)), pa.array(spanned.view(np.int64)), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())],
-                ["sample", "spanned", "lo", "hi"],
+                [pa.array(name.view(np.int64)), pa.array(spanned.view(np.int64)), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(gap, pa.int32())],
+                ["sample", "spanned", "lo", "hi", "gap"],
             )
             yield pa.RecordBatch.from_arrays(
                 [
@@ -239,7 +243,8 @@ def _texts_with(sent):
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (name, data, wanted): the bytes of each wanted range, or the names of its strings if its sample is crowded."""
+    """Rows (key, name, lo, data, run) of each wanted range: its bytes by sample or, if that is crowded, the bytes of each
+    of its runs by the bytes that all strings of the run have in common, with the run's own name."""
     for batch in batches:
         out: list[tuple] = []
         for name, data, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
@@ -248,21 +253,44 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 lo, hi = w["lo"], w["hi"]
                 part = buf[lo : hi + LENGTH]
                 if not w["crowded"]:
-                    out.append((w["sample"], name, lo, part.tobytes()))
+                    out.append((w["sample"], name, lo, part.tobytes(), None))
                     continue
                 total, back = _sums(part)
-                n = hi - lo + 1
-                own = mix((total[LENGTH:] - total[:n]) * back[:n]).view(np.int64).tolist()
-                out.extend((h, name, lo + k, None) for k, h in enumerate(own))
-            if len(out) > 20_000:
+                offset = w["gap"] - np.arange(hi - lo + 1)
+                run = offset // RUN
+                first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+                last = np.append(first[1:], len(run)) - 1
+                run = run[first]
+                core = w["gap"] - run * RUN
+                shared = (total[core - RUN + 1 + LENGTH] - total[core]) * back[core]
+                keys = mix(mix(shared + run.astype(np.uint64)) ^ np.uint64(w["sample"] & (1 << 64) - 1))
+                own = mix(mix((total[last + LENGTH] - total[first]) * back[first] + (last - first).astype(np.uint64)) + offset[first].astype(np.uint64))
+                for k, o, a, b in zip(keys.view(np.int64).tolist(), own.view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True):
+                    out.append((k, name, lo + a, part[a : b + LENGTH].tobytes(), o))
+            if len(out) > 10_000:
                 yield _rows(out)
                 out = []
         yield _rows(out)
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["key", "name", "lo", "data"])
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["key", "name", "lo", "data", "run"])
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(string, name, lo) for every string of the rows (name, lo, data)."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1000):
+            out: list[tuple] = []
+            for name, lo, data in zip(*(batch.column(k).slice(i, 1000) for k in range(3)), strict=True):
+                part = np.frombuffer(data.as_buffer(), np.uint8)
+                total, back = _sums(part)
+                n = len(part) - LENGTH + 1
+                own = mix((total[LENGTH:] - total[:n]) * back[:n]).view(np.int64).tolist()
+                out.extend((h, name.as_py(), lo.as_py() + k) for k, h in enumerate(own))
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["string", "name", "lo"])
 
 
 def _sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,27 +378,45 @@ def _repeated_ranges(source: DataFrame, named: DataFrame) -> DataFrame:
     # Samples with a range that occurs once: one range of each kind is compared with the others.
     open_samples = spans.groupBy("sample").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("a") == F.col("b")).alias("single"))
     open_samples = stage(open_samples.where("kinds > 1 AND single > 0").select("sample", (F.col("kinds") > GROUP).alias("crowded")), "open")
-    edges = rows.where("own = a").join(open_samples, "sample").select("name", "sample", "lo", "hi", "crowded")
-    wanted = stage(edges.groupBy("name").agg(F.collect_set(F.struct("sample", "lo", "hi", "crowded")).alias("wanted")), "wanted")
+    edges = rows.where("own = a").join(open_samples, "sample").select("name", "sample", "lo", "hi", "gap", "crowded")
+    wanted = stage(edges.groupBy("name").agg(F.collect_set(F.struct("sample", "lo", "hi", "gap", "crowded")).alias("wanted")), "wanted")
     if wanted.isEmpty():
         return stage(whole.distinct(), "repeats")
     bitmap = spark.sparkContext.broadcast(id_bitmap(wanted, "name", FILTER_BITS, hashed=True))
     met = source.mapInArrow(_texts_in(bitmap), "name long, data binary").join(wanted, "name").select("name", "data", "wanted")
-    around = met.mapInArrow(_surroundings, "key long, name long, lo int, data binary")
+    around = met.mapInArrow(_surroundings, "key long, name long, lo int, data binary, run long")
     around = stage(around.dropDuplicates(["key", "name", "lo"]), "surroundings")
-    dealt = around.where("data IS NOT NULL").repartition("key").sortWithinPartitions("key")
-    sorted_runs = dealt.mapInArrow(_sort_blocks, "name long, lo int, hi int")
-    strings = around.where("data IS NULL").withColumn("own", F.xxhash64("name", "lo"))
-    many = stage(strings.groupBy("key").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select("key"), "strings")
-    counted = strings.join(many, "key").select("name", "lo", F.col("lo").alias("hi"))
-    return stage(whole.unionByName(sorted_runs).unionByName(counted).distinct(), "repeats")
+    cols = ["key", "name", "lo", "data"]
+    whole = whole.distinct()
+    if open_samples.where("crowded").isEmpty():
+        return stage(whole.unionByName(_sorted(around.select(cols))), "repeats")
+    runs = around.where("run IS NOT NULL").withColumn("own", F.xxhash64("name", "lo"))
+    names = stage(runs.groupBy("key", "run").agg(F.min("own").alias("a"), F.max("own").alias("b")), "runs")
+    met_runs = names.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("a") == F.col("b")).alias("single"))
+    met_runs = stage(met_runs.where("kinds > 1 AND single > 0").select("key", (F.col("kinds") > RUNS).alias("many")), "run-keys")
+    runs = stage(runs.join(names, ["key", "run"]).where("a <> b OR own = a"), "runs")
+    last = F.col("lo") + F.octet_length("data") - LENGTH
+    together = runs.where("a <> b").select("name", "lo", last.alias("hi"))
+    left = stage(runs.where("own = a").join(met_runs, "key").select(*cols, "many"), "run-edges")
+    edges = around.where("run IS NULL").select(cols).unionByName(left.where("NOT many").select(cols))
+    found = whole.unionByName(together).unionByName(_sorted(edges))
+    strings = left.where("many").select("name", "lo", "data").mapInArrow(_strings, "string long, name long, lo int")
+    strings = stage(strings.withColumn("own", F.xxhash64("name", "lo")), "strings")
+    again = strings.groupBy("string").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select("string")
+    counted = strings.join(stage(again, "strings"), "string").select("name", "lo", F.col("lo").alias("hi"))
+    return stage(found.unionByName(counted), "repeats")
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    """Repeated strings of rows (key, name, lo, data), within each key."""
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_blocks, "name long, lo int, hi int")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges)."""
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("data"))
-    schema = "doc_id long, name long, n_bytes long, ranges array<struct<sample:long,spanned:long,lo:int,hi:int>>"
+    schema = "doc_id long, name long, n_bytes long, ranges array<struct<sample:long,spanned:long,lo:int,hi:int,gap:int>>"
     named = stage(source.mapInArrow(_names, schema), "names")
     runs = _repeated_ranges(source, named)
     copies = stage(named.groupBy("name").agg(F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes")), "copies")

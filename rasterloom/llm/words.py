@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes handled at once, unless one text alone is longer.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _SEED = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
