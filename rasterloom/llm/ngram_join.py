@@ -344,16 +344,18 @@ def _neighbourhoods(docs: DataFrame, profile: DataFrame, firsts: DataFrame) -> D
     candidates = stage(shared.select("node").distinct().join(firsts, "node"), "candidates")
     bitmap = spark.sparkContext.broadcast(id_bitmap(candidates, "doc_id", FILTER_BITS))
     grams = _placed(docs).mapInArrow(_rows_of(bitmap), "gram long, node long, n int")
-    # n-grams of one node come first in the order; they take up places of the prefix but route nowhere.
-    grams = grams.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("df > 1")
+    # Counts are combined before they move, and the join is one whose hot keys Spark can split. n-grams of one node come
+    # first in the order; they take up places of the prefix but route nowhere.
+    counts = stage(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
+    grams = grams.join(counts, "gram")
     by_node = Window.partitionBy("node").orderBy("df", "gram")
     grams = grams.withColumn("rank", F.dense_rank().over(by_node))
     kinds = F.max("rank").over(Window.partitionBy("node"))
     need = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
     prefix = grams.withColumn("kinds", kinds).where(F.col("rank") + F.col("n") - F.col("kinds") <= need)
-    by_gram = Window.partitionBy("gram")
-    tied = prefix.select("gram", "node").withColumn("low", F.min("node").over(by_gram)).where("node <> low")
-    edges = tied.select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    prefix = stage(prefix.select("gram", "node"), "prefix")
+    lows = stage(prefix.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("gram", "low"), "lows")
+    edges = prefix.join(lows, "gram").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     return components(edges).select("node", F.col("label").alias("part"))
 
 
