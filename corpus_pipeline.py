@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import decontaminate, exact_dedup, language_id, mixing, ngram_join
-from rasterloom.llm.storage import read_table, stage
+from rasterloom.llm.storage import drop_ids, read_table, stage
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,15 +23,14 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays."""
-    kept = exact_dedup.exact_dedup(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    found = exact_dedup.exact_dedup(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    return drop_ids(docs, found.where("NOT kept").select("doc_id"), "doc_id")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by links the one with the smallest id stays."""
     groups = ngram_join.near_duplicates(docs.select("doc_id", "text"))
-    kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    return drop_ids(docs, groups.where("doc_id <> component_id").select("doc_id"), "doc_id")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
