@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.storage import drop_ids
 from rasterloom.llm.words import LOWER, NON_ALNUM, Words, buffers, chunks, windows
 
 N = 8
@@ -161,8 +162,7 @@ def contaminated(min_items: int = 2):
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = N, min_items: int = 2) -> DataFrame:
     """docs without the rows that hold windows of min_items items or more; columns as they came."""
-    bad = find_hits(docs, benchmark, n).where(contaminated(min_items)).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["_bad"], "left_anti")
+    return drop_ids(docs, find_hits(docs, benchmark, n).where(contaminated(min_items)).select("doc_id"), "doc_id")
 
 
 def digest_items(items):

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_rasterloom_dir", None)
     if not found:
         found = sc._rasterloom_dir = tempfile.mkdtemp(prefix="rasterloom-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found.rstrip("/")
 
 
@@ -55,3 +61,30 @@ def id_bitmap(ids: DataFrame, column: str, bits: int, hashed: bool = False) -> b
     for b, m in parts:
         out[(b - 1) * 4096 : b * 4096] = m
     return bytes(out)
+
+
+def _where_bit(sent, want: bool):
+    """Rows whose last column is a place of the bitmap that holds `want`, without that column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(sent.value, np.uint8)
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            bit = ((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+            yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(bit == want))
+
+    return run
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """docs without the rows whose id is in ids (a table with that column alone); rows with a null id stay.
+
+    Most rows are told apart by a bitmap of at most 32 MB and never move; only those that it cannot clear are joined.
+    With so many ids that the bitmap fills up, this is a plain join again.
+    """
+    ids = stage(ids.where(F.col(column).isNotNull()).distinct(), "drop")
+    bits = min(28, max(15, (16 * ids.count()).bit_length()))
+    sent = docs.sparkSession.sparkContext.broadcast(id_bitmap(ids, column, bits))
+    marked = docs.select("*", F.pmod(F.xxhash64(F.col(column).cast("long").alias(column)), F.lit(1 << bits)).alias(f"at-{uuid.uuid4().hex}"))
+    clear = marked.mapInArrow(_where_bit(sent, False), docs.schema)
+    return clear.unionByName(marked.mapInArrow(_where_bit(sent, True), docs.schema).join(ids, column, "left_anti").select(docs.columns))
