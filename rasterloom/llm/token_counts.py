@@ -7,7 +7,8 @@ pre-tokens end give their counts, which are summed over each whole text.
 
 The score of a piece is that of its vocabulary file; a character without a piece costs its UTF-8 bytes, each as one token
 of the byte fallback. Of equal scores the segmentation whose last piece is longest wins. The vocabulary is read once by
-the driver and sent to the tasks: its size is fixed by the file. A trie that outgrows TRIE_NODES is begun anew.
+the driver and sent to the tasks: its size is fixed by the file. A trie that outgrows TRIE_NODES is begun anew after the
+text at hand.
 
 Null and empty texts, and texts of spaces only, have 0 tokens. Repeated rows get equal rows. Empty tables give an empty
 result. Other columns are not looked at.
@@ -49,39 +50,45 @@ class Trie:
     """Nodes of pre-token prefixes: their best forward score and its token count."""
 
     def __init__(self, pieces: dict[str, float]):
-        self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
         self.byte = min(pieces.values(), default=0.0) - 10.0
-        self.by_last: dict[str, list[tuple[str, int, float]]] = {}
+        #: Ends of pieces, to the score of the piece that they are, or None: what is no end of a piece stops a search.
+        self.ends: dict[str, float | None] = {}
+        for p in pieces:
+            for k in range(len(p)):
+                self.ends.setdefault(p[k:], None)
+        self.ends.update(pieces)
         self.clear()
 
     def clear(self) -> None:
         self.next: list[dict[str, int]] = [{}]
-        self.up: list[int] = [0]
         self.score: list[float] = [0.0]
         self.count: list[int] = [0]
 
     def insert(self, word: str) -> tuple[int, float]:
         """Tokens and score of a pre-token; only nodes that are new are computed."""
-        nexts, score, count, pieces, longest = self.next, self.score, self.count, self.pieces, self.longest
+        nexts, score, count, ends = self.next, self.score, self.count, self.ends
         node, path = 0, [0]
-        depth = 0
         for c in word:
             to = nexts[node].get(c)
             if to is None:
                 break
             node = to
             path.append(node)
-            depth += 1
-        for end in range(depth + 1, len(word) + 1):
+        for end in range(len(path), len(word) + 1):
             c = word[end - 1]
-            size = len(c.encode("utf-8", "surrogatepass"))
-            best, tokens = score[node] + size * self.byte, count[node] + size
-            if c in pieces:
-                best, tokens = score[node] + pieces[c], count[node] + 1
-            for start in range(end - 2, max(-1, end - longest - 1), -1):
-                p = pieces.get(word[start:end])
-                if p is not None:
+            p = ends.get(c)
+            if p is None:
+                size = len(c.encode("utf-8", "surrogatepass"))
+                best, tokens = score[node] + size * self.byte, count[node] + size
+            else:
+                best, tokens = score[node] + p, count[node] + 1
+            if c in ends:
+                for start in range(end - 2, -1, -1):
+                    p = ends.get(word[start:end], 1.0)
+                    if p is None:
+                        continue
+                    if p > 0:  # no piece ends like this
+                        break
                     at = path[start]
                     s = score[at] + p
                     if s >= best:
@@ -96,33 +103,43 @@ class Trie:
         return count[node], score[node]
 
 
+class _Memo(dict):
+    """Token counts by word, found on first use; scores beside them. Begins anew when the trie outgrows TRIE_NODES."""
+
+    def __init__(self, trie: Trie):
+        super().__init__()
+        self.trie, self.scores = trie, {}
+
+    def __missing__(self, word: str) -> int:
+        n, self.scores[word] = self.trie.insert(MARK + word)
+        self[word] = n
+        return n
+
+    def trim(self) -> None:
+        """Between texts only, so that the words of one text are all known when they are summed."""
+        if len(self.trie.score) > TRIE_NODES:
+            self.trie.clear()
+            self.scores.clear()
+            self.clear()
+
+
 def pretokens(text: str) -> list[str]:
     return [MARK + w for w in _SPLIT.findall(text)]
 
 
 def _counter(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(sent.value)
-        known: dict[str, tuple[int, float]] = {}
+        known = _Memo(Trie(sent.value))
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
                 words, tokens, scores = [], [], []
                 for text in part.column(1).to_pylist():
                     found = _SPLIT.findall(text) if text else []
-                    n, s = 0, 0.0
-                    for w in found:
-                        got = known.get(w)
-                        if got is None:
-                            if len(trie.score) > TRIE_NODES:
-                                trie.clear()
-                                known.clear()
-                            got = known[w] = trie.insert(MARK + w)
-                        n += got[0]
-                        s += got[1]
                     words.append(len(found))
-                    tokens.append(n)
-                    scores.append(round(s, 6))
+                    tokens.append(sum(map(known.__getitem__, found)))
+                    scores.append(round(math.fsum(map(known.scores.__getitem__, found)), 6))
+                    known.trim()
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64()), pa.array(scores, pa.float64())],
                     ["doc_id", "n_pretokens", "n_tokens", "log_score"],
