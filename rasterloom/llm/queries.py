@@ -92,7 +92,43 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_chat_format, op3_ngram_jaccard, op4_token_counts, op5_exact_dedup, op6_language_id, op7_mixing, op8_secrets, op9_decontaminate, op10_suffix_dedup)}
 
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 ORACLE_SQL = {
+    "op3_ngram_jaccard": rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+            FROM w),
+        sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+        grams AS (SELECT doc_id, n, unnest(s) AS g FROM sets JOIN sizes USING (doc_id)),
+        pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS an, any_value(b.n) AS bn, count(*) AS common
+            FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * a.n <= 125 * b.n AND 100 * b.n <= 125 * a.n
+            GROUP BY a.doc_id, b.doc_id),
+        links AS (SELECT a, b FROM pairs WHERE 100 * common >= 80 * (an + bn - common)),
+        sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT a, b FROM sides UNION SELECT r.a, t.b FROM reach r JOIN sides t ON r.b = t.a)
+        SELECT doc_id, n AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id)) AS component_id FROM sizes
+    """,
+    "op9_decontaminate": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_ALNUM}') AS w FROM documents),
+        i AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_ALNUM}') AS w FROM benchmark WHERE item_id IS NOT NULL),
+        k AS (SELECT item, w, least(8, len(w)) AS k FROM i WHERE len(w) > 0),
+        wins AS (SELECT DISTINCT item, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM (SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM k)),
+        places AS (
+            SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS g
+            FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM wins) WHERE len(w) >= k)),
+        hits AS (SELECT doc_id, item, p, p + h.k - 1 AS q FROM places h JOIN wins USING (k, g)),
+        words AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(p, q + 1)) AS x FROM hits) GROUP BY doc_id),
+        items AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS l FROM hits GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(len(l), 0) AS n_items,
+               sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256, coalesce(len(l), 0) >= 2 AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
     "op2_chat_format": """
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -146,4 +182,21 @@ ORACLE_SQL = {
                size * (floor(shift + ratio * place)::BIGINT - floor(shift + ratio * (place - 1))::BIGINT) AS taken
         FROM placed
     """,
+    "op10_suffix_dedup": """
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        bytes AS (
+            SELECT r, i, substr(h, 2 * i + 1, 2) AS b, CASE WHEN 2 * i + 400 <= strlen(h) THEN hash(substr(h, 2 * i + 1, 400)) END AS s
+            FROM (SELECT r, h, unnest(range(strlen(h) // 2)) AS i FROM d)),
+        starts AS (SELECT s FROM bytes WHERE s IS NOT NULL GROUP BY s HAVING count(*) > 1),
+        marked AS (
+            SELECT r, i, b, max(CASE WHEN t.s IS NOT NULL THEN i END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+            FROM bytes LEFT JOIN starts t ON bytes.s = t.s),
+        edged AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS opens FROM marked),
+        found AS (
+            SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept
+            FROM edged GROUP BY r)
+        SELECT doc_id, strlen(h)::BIGINT // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        FROM d LEFT JOIN found USING (r)
+    """,
 }
