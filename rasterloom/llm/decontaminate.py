@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.storage import drop_ids
+from rasterloom.llm.storage import drop_ids, text_batches
 from rasterloom.llm.words import LOWER, NON_ALNUM, Words, buffers, chunks, windows
 
 N = 8
@@ -127,6 +127,7 @@ def _blocks(benchmark: DataFrame, n: int) -> Iterator[list[tuple[str, str]]]:
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items (sorted), spans (of words, end exclusive)."""
     spark = docs.sparkSession
+    text_batches(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = [
         source.mapInArrow(_scan(spark.sparkContext.broadcast(NgramSet(block, n)), n), SCHEMA) for block in _blocks(benchmark, n)

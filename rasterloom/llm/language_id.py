@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rasterloom.llm.storage import text_batches
 from rasterloom.llm.words import buffers, chunks
 
 SAMPLE_CHARS = 20_000
@@ -227,6 +228,7 @@ def _predictor(sent, text_at: int, keep_text: bool):
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of docs: doc_id, lang_pred, score (the winner's share of inverse entropies, 0 to 1)."""
+    text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("text"), F.col("doc_id").cast("long").alias("doc_id"))
     return rows.mapInArrow(_predictor(sent, 0, False), SCHEMA)
@@ -234,6 +236,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def identify_with(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score, without a join; the columns of docs keep their order."""
+    text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(_predictor(sent, docs.columns.index("text"), True), schema)

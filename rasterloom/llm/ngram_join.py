@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.graph import components
-from rasterloom.llm.storage import id_bitmap, stage
+from rasterloom.llm.storage import id_bitmap, stage, text_batches
 from rasterloom.llm.words import LOWER, SPACES, Words, buffers, chunks, mix, windows
 
 N = 5
@@ -404,6 +404,7 @@ def _labels(docs: DataFrame, profile: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest id that links reach)."""
+    text_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = stage(source.mapInArrow(_profile, "doc_id long, n long, node long, keys array<long>"), "profile")
     nodes = profile.where("node >= 0").groupBy("node").agg(F.min("doc_id").alias("least"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.storage import crc_mod, stage
+from rasterloom.llm.storage import crc_mod, stage, text_batches
 from rasterloom.llm.words import SPACES, Words, buffers, chunks
 
 FEATURES, RIDGE, BINS, SEED = 192, 1e-3, 1000, 11
@@ -107,6 +107,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and x, the array of STATISTICS of the whole text."""
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_stats, "doc_id long, x array<double>")
 
 

@@ -36,6 +36,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch of texts: the default of 10,000 would hold some 35 MB on either side of a Python worker.
+BATCH_ROWS = 2_000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of this session small, unless they are already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -82,6 +93,7 @@ def drop_ids(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     Most rows are told apart by a bitmap of at most 32 MB and never move; only those that it cannot clear are joined.
     With so many ids that the bitmap fills up, this is a plain join again.
     """
+    text_batches(docs.sparkSession)
     ids = stage(ids.where(F.col(column).isNotNull()).distinct(), "drop")
     bits = min(28, max(15, (16 * ids.count()).bit_length()))
     sent = docs.sparkSession.sparkContext.broadcast(id_bitmap(ids, column, bits))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.storage import id_bitmap, stage
+from rasterloom.llm.storage import id_bitmap, stage, text_batches
 from rasterloom.llm.words import _BASE, _BYTE, _INVERSE, buffers, chunks, mix, powers
 
 LENGTH, PIECE = 200, 50
@@ -415,6 +415,7 @@ def _sorted(rows: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges)."""
     spark = docs.sparkSession
+    text_batches(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("data"))
     schema = "doc_id long, name long, n_bytes long, ranges array<struct<sample:long,spanned:long,lo:int,hi:int,gap:int>>"
     named = stage(source.mapInArrow(_names, schema), "names")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.storage import text_batches
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 TRIE_NODES = 1_000_000
@@ -150,6 +152,7 @@ def _counter(sent):
 
 def count_tokens(docs: DataFrame, pieces: dict[str, float] | None = None, path: str = VOCABULARY) -> DataFrame:
     """One row per row of docs: doc_id, n_pretokens, n_tokens, log_score."""
+    text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path) if pieces is None else pieces)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_counter(sent), SCHEMA)
 
