@@ -72,8 +72,7 @@ def q_tiles_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_codeblock_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code blocks that a window with its halo depends on: enumerated by number, then met by equality."""
     halo = grid.HALO["97"]
-    r = regions(spark, sf_dir).where("req_id % 8 = 0")
-    wide = r.select("req_id", (F.col("x") - halo).alias("x"), (F.col("y") - halo).alias("y"), (F.col("w") + 2 * halo).alias("w"), (F.col("h") + 2 * halo).alias("h"))
+    wide = regions(spark, sf_dir).select("req_id", (F.col("x") - halo).alias("x"), (F.col("y") - halo).alias("y"), (F.col("w") + 2 * halo).alias("w"), (F.col("h") + 2 * halo).alias("h"))
     hits = grid.overlapping_tiles(wide, 64).select("req_id", F.col("tile_x").alias("bx"), F.col("tile_y").alias("by_"))
     blocks = spark.range(64 * 64).select((F.col("id") % 64).alias("bx"), F.floor(F.col("id") / 64).alias("by_"))
     return hits.join(lookup.maybe_broadcast(blocks), ["bx", "by_"]).select("req_id", "bx", "by_")

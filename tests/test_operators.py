@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import contexts, protocol, samples
 from rasterloom.operators import entropy, grid, lookup, metrics, packets, ranges, wavelet
+from rasterloom.plans import catalog
 from rasterloom.sources import boxes, raster_files
 from rasterloom.streaming import delivery
 
@@ -89,6 +90,20 @@ def test_tiles_cover_regions_without_overlap(spark):
     assert area == {i: w * h for i, _, _, w, h in rects if w * h}
 
 
+def test_code_blocks_of_every_region(spark, tmp_path):
+    rng = random.Random(5)
+    orders = [(k, rng.randint(1, 15_000)) for k in range(1, 41)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalog.QUERIES["q_codeblock_select"](spark, str(tmp_path)).collect()
+    want = []
+    for k, c in orders:
+        x, y, w, h = k * 37 % 3840, (k * 11 + c * 17) % 3840, 1 + k % 255, 1 + c % 254
+        over = lambda at, n: [b for b in range(64) if b * 64 < at + n + 4 and at - 4 < b * 64 + 64]
+        want += [(k, bx, by) for bx in over(x, w) for by in over(y, h)]
+    assert {k for k, _, _ in want} == {k for k, _ in orders}
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_percentile_bounds(spark):
     rows = [(1, v) for v in [0, 1, 2, 3, 4, 5, 100]]
     out = metrics.percentile_bounds(spark.createDataFrame(rows, "k long, v long"), ["k"], "v", [50, 95]).first()
