@@ -8,11 +8,12 @@ normalised phrases wins. Whole texts are parsed.
 The automata of all languages share one transition table of numpy integers. A lookup gives the next state and, in its
 lowest bit, whether a phrase ended, so that many documents and all languages advance one character at a time together.
 
-The sample: labelled rows in order of a hash of their text, until SAMPLE_CHARS characters a language are taken. The
-bound is a parameter; all rows are counted, and a threshold from these counts keeps what the driver gathers bounded.
+The sample: labelled rows in order of a hash of their text, until SAMPLE_CHARS characters a language are taken. Of a row
+of more than SAMPLE_ROW_CHARS characters an excerpt of its words is taken, at a place that the hash chooses. The bound is
+a parameter; all rows are counted, and a threshold from these counts keeps what the driver gathers bounded.
 
 A text that is null or has no letter is `und` with score 0. Ties go to the language first in code point order. With no
-labelled rows at all every text is `und`. Null labels are not learned. Repeated rows get equal rows. Empty tables give an
+labelled rows at all every text is `und`. Null labels and rows without a letter are not learned. Repeated rows get equal rows. Empty tables give an
 empty result; other columns are not looked at.
 """
 
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +32,7 @@ from rasterloom.llm.storage import text_batches
 from rasterloom.llm.words import buffers, chunks
 
 SAMPLE_CHARS = 20_000
-#: Rows a language that the driver gathers to draw the sample from, and the longest row that it takes.
+#: Rows a language that the driver gathers to draw the sample from, and what it takes of a row at most.
 SAMPLE_ROWS, SAMPLE_ROW_CHARS = 400, 4_000
 #: Characters besides the gap that the automata tell apart; rarer ones share the last class.
 ALPHABET = 126
@@ -189,15 +190,22 @@ class Model:
         return [self.langs[b] if ok else "und" for b, ok in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, share, 0.0)
 
 
+def _excerpt(text: str) -> Column:
+    """Texts as they are; of long ones SAMPLE_ROW_CHARS characters, with one space for what is between words."""
+    words = F.trim(F.regexp_replace(text, r"\P{L}+", " "))
+    start = F.pmod(F.xxhash64(text), F.greatest(F.lit(1), F.length(words) - SAMPLE_ROW_CHARS + 1)) + 1
+    return F.when(F.length(text) <= SAMPLE_ROW_CHARS, F.col(text)).otherwise(F.substring(words, start.cast("int"), F.lit(SAMPLE_ROW_CHARS)))
+
+
 def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Model:
     """labelled (lang, text) to a model. The driver gathers at most about 2 * SAMPLE_ROWS rows a language."""
-    rows = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= SAMPLE_ROW_CHARS))
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     spread = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     wanted = F.lit(False)
     for lang, n in sorted(counts.items()):
         wanted = wanted | ((F.col("lang") == lang) & (spread < min(1.0, 1.5 * SAMPLE_ROWS / n)))
-    drawn = rows.where(wanted).select("lang", "text", spread.alias("u")).distinct().collect()
+    drawn = rows.where(wanted).select("lang", _excerpt("text").alias("text"), spread.alias("u")).distinct().collect()
     samples: dict[str, str] = {}
     for lang, text, _ in sorted(drawn, key=lambda r: (r["lang"], r["u"], r["text"])):
         have = samples.get(lang, "")

@@ -111,6 +111,21 @@ def test_language_accuracy_and_edge_cases(spark, sf_dir, corpus):
     assert both.columns[-2:] == ["lang_pred", "score"] and both.count() == len(odd_rows())
 
 
+def test_languages_with_long_rows_only_are_learned(spark):
+    rng = random.Random(16)
+    words = {"de": "der hund und die katze schlafen heute nicht".split(), "fr": "le chat et les chiens dorment bien ici".split()}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    books = [("de", text("de", 2_000)), ("fr", "1 2 " * 5_000 + text("fr", 900) + " 3 4" * 5_000), (None, text("fr", 2_000)), ("xx", "1 2 " * 2_000)]
+    pages = [("de", text("de", 20)) for _ in range(20)]
+    docs = frame(spark, [(i, text(lang, 30)) for i, lang in enumerate(["de", "fr"] * 5)])
+    for labelled in (books, books[1:] + pages):
+        model = language_id.fit(spark.createDataFrame(labelled, "lang string, text string"))
+        assert set(model.samples) == {"de", "fr"}
+        assert all(len(s) <= language_id.SAMPLE_CHARS + language_id.SAMPLE_ROW_CHARS + 1 for s in model.samples.values())
+        got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, model).collect()}
+        assert got == {i: ["de", "fr"][i % 2] for i in range(10)}
+
+
 # 9: decontamination
 
 
