@@ -10,7 +10,8 @@ lowest bit, whether a phrase ended, so that many documents and all languages adv
 
 The sample: labelled rows in order of a hash of their text, until SAMPLE_CHARS characters a language are taken. Of a row
 of more than SAMPLE_ROW_CHARS characters an excerpt of its words is taken, at a place that the hash chooses. The bound is
-a parameter; all rows are counted, and a threshold from these counts keeps what the driver gathers bounded.
+a parameter. The characters of all distinct texts are counted, copies once, and a threshold on the hash from these counts
+keeps what the driver gathers bounded; it is raised for a language that it gives too few characters.
 
 A text that is null or has no letter is `und` with score 0. Ties go to the language first in code point order. With no
 labelled rows at all every text is `und`. Null labels and rows without a letter are not learned. Repeated rows get equal rows. Empty tables give an
@@ -32,8 +33,10 @@ from rasterloom.llm.storage import text_batches
 from rasterloom.llm.words import buffers, chunks
 
 SAMPLE_CHARS = 20_000
-#: Rows a language that the driver gathers to draw the sample from, and what it takes of a row at most.
-SAMPLE_ROWS, SAMPLE_ROW_CHARS = 400, 4_000
+#: Characters of a row that the sample takes at most.
+SAMPLE_ROW_CHARS = 4_000
+#: How many times the sample's characters are drawn, so that one draw nearly always has enough.
+DRAW = 3
 #: Characters besides the gap that the automata tell apart; rarer ones share the last class.
 ALPHABET = 126
 #: Lanes below which plain Python is faster than numpy.
@@ -198,22 +201,27 @@ def _excerpt(text: str) -> Column:
 
 
 def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """labelled (lang, text) to a model. The driver gathers at most about 2 * SAMPLE_ROWS rows a language."""
+    """labelled (lang, text) to a model. The driver gathers about DRAW * sample_chars characters a language."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    spread = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    wanted = F.lit(False)
-    for lang, n in sorted(counts.items()):
-        wanted = wanted | ((F.col("lang") == lang) & (spread < min(1.0, 1.5 * SAMPLE_ROWS / n)))
-    drawn = rows.where(wanted).select("lang", _excerpt("text").alias("text"), spread.alias("u")).distinct().collect()
+    rows = rows.select("lang", "text", F.xxhash64("text").alias("h"), F.least(F.length("text"), F.lit(SAMPLE_ROW_CHARS)).alias("n"))
+    texts = rows.groupBy("lang", "h").agg(F.max("n").alias("n"))
+    chars = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    spread = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
     samples: dict[str, str] = {}
-    for lang, text, _ in sorted(drawn, key=lambda r: (r["lang"], r["u"], r["text"])):
-        have = samples.get(lang, "")
-        if len(have) < sample_chars:
-            samples[lang] = have + text + "\n"
-    for lang in counts:
-        samples.setdefault(lang, "")
-    return Model({k: v for k, v in samples.items() if v})
+    shares = {lang: DRAW * sample_chars / n for lang, n in chars.items()}
+    while shares:  # again, with a larger share, for languages whose draw fell short
+        wanted = F.lit(False)
+        for lang, share in sorted(shares.items()):
+            wanted = wanted | ((F.col("lang") == lang) & (spread < min(1.0, share)))
+        drawn = rows.where(wanted).select("lang", _excerpt("text").alias("text"), spread.alias("u")).distinct().collect()
+        found = dict.fromkeys(shares, "")
+        for lang, text, _ in sorted(drawn, key=lambda r: (r["lang"], r["u"], r["text"])):
+            if len(found[lang]) < sample_chars:
+                found[lang] += text + "\n"
+        short = {lang for lang, share in shares.items() if share < 1 and len(found[lang]) < sample_chars}
+        samples |= {lang: text for lang, text in found.items() if lang not in short}
+        shares = {lang: 4 * shares[lang] for lang in short}
+    return Model(samples)
 
 
 def _predictor(sent, text_at: int, keep_text: bool):

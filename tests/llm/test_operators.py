@@ -126,6 +126,20 @@ def test_languages_with_long_rows_only_are_learned(spark):
         assert got == {i: ["de", "fr"][i % 2] for i in range(10)}
 
 
+def test_copies_do_not_thin_the_language_sample(spark):
+    langs = ["de", "fr", "it"]
+    texts = {lang: [f"{lang} wort " + " ".join(lang[k % 2] * (1 + (i * k) % 7) for k in range(1, 60)) + f" {i}" for i in range(n)] for lang, n in zip(langs, (400, 1, 3), strict=True)}
+    rows = [(lang, t) for lang in langs for t in texts[lang]]
+    once = spark.createDataFrame(rows, "lang string, text string")
+    often = once.crossJoin(spark.range(3_000).select(F.lit(0).alias("_"))).where("lang <> 'de'").select("lang", "text").unionByName(
+        once.crossJoin(spark.range(50).select(F.lit(0).alias("_"))).where("lang = 'de'").select("lang", "text")
+    )
+    model, same = language_id.fit(once), language_id.fit(often)
+    assert model.samples == same.samples and set(model.samples) == set(langs)
+    assert len(model.samples["de"]) >= language_id.SAMPLE_CHARS
+    assert len(model.samples["it"]) == sum(len(t) + 1 for t in texts["it"])
+
+
 # 9: decontamination
 
 
