@@ -16,6 +16,23 @@ def merge_ranges(ranges: DataFrame, keys: list[str], start: str = "s", end: str
     return rows.groupBy(*keys, "_g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_g")
 
 
+def covered_reads(reads: DataFrame, merged: DataFrame, keys: list[str]) -> DataFrame:
+    """reads [a, b) with the (s, e) of the one range that covers them; others go.
+
+    Merged ranges are disjoint, so it can only be the last one that begins at or before the read: one shuffle and one
+    sort, and no comparison of every read of a key with every range of it.
+    """
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    held = merged.where(known).select(*keys, F.struct("s", "e").alias("_range"), F.col("s").alias("_at"), F.lit(0).alias("_read"))
+    asked = reads.where(known & F.col("a").isNotNull()).select("*", F.col("a").alias("_at"), F.lit(1).alias("_read"))
+    w = Window.partitionBy(*keys).orderBy("_at", "_read").rowsBetween(Window.unboundedPreceding, 0)
+    rows = asked.unionByName(held, allowMissingColumns=True)
+    rows = rows.withColumn("_range", F.last("_range", ignorenulls=True).over(w)).where("_read = 1")
+    return rows.where("_range.s <= a AND _range.e >= b").select(*reads.columns, "_range.*")
+
+
 def known_prefix(merged: DataFrame, keys: list[str]) -> DataFrame:
     """By key the bytes known from offset 0 on: the first range, if it begins there."""
     return merged.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("s") == 0, F.col("e"))), F.lit(0)).alias("prefix"))

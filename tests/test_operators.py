@@ -79,6 +79,22 @@ def test_touching_ranges_merge(spark):
     assert sorted(map(tuple, out.select("k", "s", "e").collect())) == [(1, 0, 7), (1, 8, 9), (2, 3, 4)]
 
 
+def test_cache_reads_of_every_row(spark, tmp_path):
+    rng = random.Random(14)
+    rows = [(rng.randint(1, 12), rng.randint(1, 7), rng.randint(1, 3), float(rng.randint(0, 50))) for _ in range(150)] + [(1, 2, None, 30.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.QUERIES["q_cache_read"](spark, str(tmp_path)).select("k", "l_orderkey", "a", "b", "s", "e").collect()
+    merged = []
+    for k, s, e in sorted((k, o * 10, o * 10 + int(q)) for o, _, k, q in rows if k is not None):
+        if merged and merged[-1][0] == k and s <= merged[-1][2]:
+            merged[-1][2] = max(merged[-1][2], e)
+        else:
+            merged.append([k, s, e])
+    want = [(k, o, o * 10 + 2, o * 10 + 6, s, e) for o, _, k, _ in rows for m, s, e in merged if m == k and s <= o * 10 + 2 and e >= o * 10 + 6]
+    assert len(want) > sum(n == 1 for _, n, _, _ in rows)
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_tiles_cover_regions_without_overlap(spark):
     rng = random.Random(3)
     rects = [(i, rng.randint(0, 300), rng.randint(0, 300), rng.randint(1, 200), rng.randint(1, 200)) for i in range(50)] + [(99, 0, 0, 0, 5)]
