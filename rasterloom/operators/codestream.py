@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from rasterloom.functions.limits import DECODE_SAMPLES
 from rasterloom.operators.entropy import decode_block, encode_block
 
 #: Marker codes.
@@ -381,10 +382,13 @@ def tile_index(data: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-def decode(data: bytes, region: tuple[int, int, int, int] | None = None, discard: int = 0, components: list[int] | None = None) -> list[np.ndarray]:
+def decode(
+    data: bytes, region: tuple[int, int, int, int] | None = None, discard: int = 0, components: list[int] | None = None, max_samples: int = DECODE_SAMPLES
+) -> list[np.ndarray]:
     """Components of a region (x, y, w, h) at full size, or of the whole image with some levels discarded.
 
-    Only the tiles that a region touches are decoded.
+    Only the tiles that a region touches are decoded. A request for more samples than max_samples is refused from the
+    headers alone.
     """
     info = inspect(data)
     if not info["supported"]:
@@ -400,6 +404,9 @@ def decode(data: bytes, region: tuple[int, int, int, int] | None = None, discard
     wanted = list(range(info["components"])) if components is None else components
     if len(set(wanted)) != len(wanted) or any(not 0 <= c < info["components"] for c in wanted):
         raise Refused("unknown or repeated components")
+    requested = -(-rh // two) * -(-rw // two) * len(wanted)
+    if max_samples <= 0 or requested > max_samples:
+        raise Refused(f"the request has {requested} samples, of {max_samples} at most")
     steps = [(r, n) for r in range(levels + 1) for n in _names(r)]
     most = {s: info["guard"] + e - 1 for s, e in zip(steps, info["exponents"], strict=True)}
     across = -(-w // info["tile_width"])

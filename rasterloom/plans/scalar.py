@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.functions import contexts, protocol, samples
+from rasterloom.functions import contexts, limits, protocol, samples
 from rasterloom.plans.registry import EVENTS, PIXELS, PLANES, REAL_PLANES, REGIONS, query
 from rasterloom.sources.signals import event_lines, pixels, plane_samples, planes, read_table, regions
 
@@ -328,21 +328,46 @@ def q_even_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _grid(w: str, h: str) -> str:
+    return f"((({w}) + 63) // 64 * ((({h}) + 63) // 64))"
+
+
 @query(
-    """WITH t AS (SELECT p_partkey, p_size * 97 AS w, (p_partkey % 400) * 83 AS h, [1, 2, 3, 8][p_partkey % 4 + 1] AS c FROM part)
+    f"""WITH t AS (SELECT p_partkey, p_size * 97 AS w, (p_partkey % 400) * 83 AS h, [1, 2, 3, 8][p_partkey % 4 + 1] AS c FROM part)
     SELECT p_partkey, CASE WHEN w < 4 OR h < 4 OR w > 32768 OR h > 32768 THEN 'axes' WHEN c NOT IN (1, 3, 8) THEN 'components'
     WHEN w * h > 67108864 OR (c = 8 AND w * h > 33554432) THEN 'pixels' ELSE 'ok' END AS status,
-    4 * w * h * c + 12 * greatest(w, h) + 2 * 1048576 AS shared_bytes FROM t"""
+    shared AS shared_bytes, blocks, greatest(0, least(8, blocks, floor((4294967296 - shared) / 4194304)::BIGINT)) AS workers
+    FROM (SELECT *, 4 * w * h * c + 4096 * blocks + 12 * greatest(w, h) + 2147483648 AS shared FROM
+    (SELECT *, c * ({_grid('w // 2', '(h + 1) // 2')} + {_grid('(w + 1) // 2', 'h // 2')} + {_grid('w // 2', 'h // 2')}
+      + {_grid('(w + 1) // 2 // 2', '(h + 3) // 4')} + {_grid('(w + 3) // 4', '(h + 1) // 2 // 2')}
+      + {_grid('(w + 1) // 2 // 2', '(h + 1) // 2 // 2')} + {_grid('(w + 3) // 4', '(h + 3) // 4')}) AS blocks FROM t))"""
 )
 def q_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Admission of geometries before any work, and the bytes that all workers share, without block descriptors."""
+    """Admission of geometries before any work: bytes that all workers share, code blocks, and the workers that fit."""
     c = F.element_at(F.array(*[F.lit(k) for k in (1, 2, 3, 8)]), (F.col("p_partkey") % 4 + 1).cast("int"))
     p = read_table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size").cast("long") * 97).alias("w"), (F.col("p_partkey") % 400 * 83).alias("h"), c.alias("c"))
     px = F.col("w") * F.col("h")
     status = F.when(F.expr("w < 4 OR h < 4 OR w > 32768 OR h > 32768"), "axes").when(~F.col("c").isin(1, 3, 8), "components")
     status = status.when((px > 64 << 20) | ((F.col("c") == 8) & (px > 32 << 20)), "pixels").otherwise("ok")
-    shared = 4 * px * F.col("c") + 12 * F.greatest("w", "h") + 2 * (1 << 20)
-    return p.select("p_partkey", status.alias("status"), shared.alias("shared_bytes"))
+    p = p.withColumn("blocks", limits.encode_blocks(F.col("w"), F.col("h"), F.col("c")))
+    p = p.withColumn("shared_bytes", limits.shared_bytes(F.col("w"), F.col("h"), F.col("c"), F.col("blocks")))
+    return p.select("p_partkey", status.alias("status"), "shared_bytes", "blocks", limits.workers(F.col("shared_bytes"), F.col("blocks"), 8).alias("workers"))
+
+
+@query(
+    """WITH t AS (SELECT p_partkey, p_size * 97 AS w, 1 + p_partkey % 400 * 83 AS h, p_partkey % 4 AS r, [0, 1, 50000, 5000000][p_partkey % 4 + 1] AS most FROM part),
+    s AS (SELECT p_partkey, most, ((w + (1 << r) - 1) // (1 << r)) * ((h + (1 << r) - 1) // (1 << r))
+      + ((w + (2 << r) - 1) // (2 << r)) * (((h + (1 << r) - 1) // (1 << r)) + ((h + (2 << r) - 1) // (2 << r))) AS samples FROM t)
+    SELECT p_partkey, samples, CASE WHEN most <= 0 THEN 'invalid limit' WHEN samples > most THEN 'limit exceeded' ELSE 'ok' END AS status FROM s"""
+)
+def q_decode_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples that a request of three components (two of them subsampled) gives at a resolution, against a limit."""
+    k = F.col("p_partkey")
+    one = lambda dx, dy: F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
+    samples = limits.output_samples(F.col("p_size").cast("long") * 97, 1 + k % 400 * 83, F.array(one(1, 1), one(2, 1), one(2, 2)), k % 4)
+    most = F.element_at(F.array(*[F.lit(n) for n in (0, 1, 50_000, 5_000_000)]), (k % 4 + 1).cast("int"))
+    p = read_table(spark, sf_dir, "part").select("p_partkey", samples.alias("samples"), most.alias("most"))
+    return p.select("p_partkey", "samples", limits.decode_status(F.col("samples"), F.col("most")).alias("status"))
 
 
 @query("SELECT p_partkey, floor(floor((1 + p_partkey % 7)::DOUBLE * 0.25::DOUBLE * (p_size * 64)) / 8)::BIGINT AS budget FROM part")
