@@ -10,7 +10,9 @@ REQUEST_FIELDS = ("target", "tid", "fsiz", "roff", "rsiz", "comps", "layers", "l
 
 
 def precinct_id(sequence: Column, component: Column, tile: Column, components: Column, tiles: Column) -> Column:
-    return (sequence * components + component) * tiles + tile
+    """Number of a precinct's bin; a component or tile that the image lacks is an error."""
+    inside = (sequence >= 0) & component.between(0, components - 1) & tile.between(0, tiles - 1)
+    return F.when(inside, (sequence * components + component) * tiles + tile).otherwise(F.raise_error(F.lit("no such tile component")).cast("long"))
 
 
 def bin_class(wire_class: Column, bin_id: Column) -> Column:

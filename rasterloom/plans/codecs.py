@@ -121,22 +121,28 @@ def q_rate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH d AS (SELECT user_id, event_id % 40 AS id, min(event_id) AS place FROM events GROUP BY ALL),
-    o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY place) AS n FROM d)
-    SELECT user_id, id, 0 AS start, 50 AS stop, true AS final FROM o WHERE n <= 3"""
+    b AS (SELECT *, 40 + id * 37 % 400 AS length, CASE WHEN id % 3 > 0 THEN id * 11 % 500 END AS wanted, id % 7 * 20 AS known FROM d),
+    f AS (SELECT *, least(coalesce(wanted, length), length) AS until, least(known, length) AS since FROM b WHERE id % 11 <> 0),
+    p AS (SELECT user_id, id, place, length, until, unnest(CASE WHEN since < until THEN range(since, until, 128) WHEN until = length THEN [since] ELSE [] END) AS start FROM f),
+    s AS (SELECT *, greatest(start, least(start + 128, until)) - start AS n, CASE WHEN id < 16 THEN 3 ELSE 4 END + CASE WHEN start < 128 THEN 1 ELSE 2 END AS fixed FROM p),
+    c AS (SELECT *, fixed + CASE WHEN n < 128 THEN 1 ELSE 2 END + n AS cost FROM s),
+    r AS (SELECT *, row_number() OVER w AS number, sum(cost) OVER w AS spent FROM c WINDOW w AS (PARTITION BY user_id ORDER BY place, start)),
+    cut AS (SELECT *, list_max(list_filter(range(1, 129), lambda k: fixed + CASE WHEN k < 128 THEN 1 ELSE 2 END + k <= 900 - (spent - cost))) AS part
+            FROM r WHERE number <= 6 AND spent > 900 AND spent - cost <= 900),
+    sent AS (SELECT user_id, number - 1 AS ordinal, id, start, start + n AS stop, start + n = length AS final FROM r WHERE number <= 6 AND spent <= 900
+             UNION ALL SELECT user_id, number - 1, id, start, start + part, false FROM cut WHERE part IS NOT NULL),
+    ends AS (SELECT user_id, CASE WHEN (SELECT count(*) FROM r WHERE r.user_id = u.user_id AND number <= 6 AND spent > 900) > 0 THEN 4
+             WHEN (SELECT count(*) FROM r WHERE r.user_id = u.user_id AND number > 6) > 0 THEN 7 ELSE 2 END AS reason,
+             (SELECT count(*) FROM sent WHERE sent.user_id = u.user_id) AS ordinal FROM (SELECT DISTINCT user_id FROM d) u)
+    SELECT user_id, ordinal, id, start, stop, final, NULL::INTEGER AS reason FROM sent
+    UNION ALL SELECT user_id, ordinal, NULL, NULL, NULL, NULL, reason FROM ends"""
 )
 def q_deliver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered demands answered up to a number of messages; each bin here has 50 bytes and fits one."""
-    e = read_table(spark, sf_dir, "events").groupBy("user_id", (F.col("event_id") % 40).alias("id")).agg(F.min("event_id").alias("at"))
-    asked = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda d: d["id"]).alias("ids"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for user, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sent, _ = delivery.deliver([((0, i), None) for i in ids], dict.fromkeys(((0, i) for i in ids), 50), {}, 100_000, 64, 3)
-                rows += [(user, key[1], a, b, final) for key, a, b, final in sent]
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["user_id", "id", "start", "stop", "final"])
-
-    return asked.mapInArrow(run, "user_id long, id long, start int, stop int, final boolean")
+    """Ordered demands answered up to 900 bytes or 6 messages a session; the last message may be cut short."""
+    e = read_table(spark, sf_dir, "events").groupBy("user_id", (F.col("event_id") % 40).alias("id")).agg(F.min("event_id").alias("place"))
+    i = F.col("id")
+    demands = e.select(
+        "user_id", "place", "id", F.lit(0).alias("class"), (40 + i * 37 % 400).alias("length"), F.when(i % 3 > 0, i * 11 % 500).alias("wanted"),
+        (i % 7 * 20).alias("known"), (i % 11 == 0).alias("complete"),
+    )
+    return delivery.deliver(demands, "user_id", "place", 900, 128, 6).drop("class")

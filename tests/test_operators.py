@@ -297,16 +297,86 @@ def test_cache_rules():
     assert c.model() == {}
 
 
-def test_delivery_limits():
-    lengths = {(0, 1): 300, (2, 0): 10}
-    out, why = delivery.deliver([((0, 1), None), ((2, 0), None)], lengths, {}, 10_000, 128, 10)
-    assert why == delivery.COMPLETE and [m[1:3] for m in out] == [(0, 128), (128, 256), (256, 300), (0, 10)]
-    assert delivery.deliver([((0, 1), None)], lengths, {(0, 1): None}, 100, 64, 10) == ([], delivery.COMPLETE)
-    out, why = delivery.deliver([((0, 1), None)], lengths, {(0, 1): 100}, 50, 64, 10)
-    assert why == delivery.BYTE_LIMIT and out[0][1] == 100 and out[0][2] < 150
-    assert delivery.deliver([((0, 1), None)], lengths, {}, 1000, 10, 2)[1] == delivery.MESSAGE_LIMIT
-    with pytest.raises(ValueError, match="twice"):
-        delivery.deliver([((0, 1), 1), ((0, 1), 1)], lengths, {}, 100, 10, 5)
+DEMAND = "s string, n long, class int, id long, length long, wanted long, known long, complete boolean"
+
+
+def deliver(spark, rows, *limits):
+    """By session the messages (class, id, start, stop, final) and the reason of the end."""
+    found = {}
+    for r in delivery.deliver(spark.createDataFrame(rows, DEMAND), "s", "n", *limits).orderBy("s", "ordinal", F.col("reason").asc_nulls_first()).collect():
+        sent = found.setdefault(r["s"], ([], []))
+        sent[1].append(r["reason"]) if r["reason"] else sent[0].append((r["class"], r["id"], r["start"], r["stop"], r["final"]))
+    return {s: (sent, *why) for s, (sent, why) in found.items()}
+
+
+def test_delivery_limits(spark):
+    two = [("a", 1, 0, 1, 300, None, None, None), ("a", 2, 2, 0, 10, None, 0, False)]
+    sent, why = deliver(spark, two, 10_000, 128, 10)["a"]
+    assert why == delivery.COMPLETE and [m[2:4] for m in sent] == [(0, 128), (128, 256), (256, 300), (0, 10)]
+    assert [m[4] for m in sent] == [False, False, True, True]
+    done = [("a", 1, 0, 1, 300, None, None, True), ("b", 1, 0, 1, 300, 100, 100, False), ("c", 1, 0, 1, 300, None, 300, False)]
+    assert deliver(spark, done, 100, 64, 10) == {
+        "a": ([], delivery.COMPLETE), "b": ([], delivery.COMPLETE), "c": ([(0, 1, 300, 300, True)], delivery.COMPLETE)
+    }
+    assert deliver(spark, two[:1], 1000, 10, 2)["a"] == ([(0, 1, 0, 10, False), (0, 1, 10, 20, False)], delivery.MESSAGE_LIMIT)
+    with pytest.raises(Exception, match="twice"):
+        deliver(spark, [two[0], two[0]], 100, 10, 5)
+
+
+def test_byte_limits_take_all_that_fits(spark):
+    """Every budget, against the most bytes that framed messages hold."""
+    for length in (100, 200):
+        for budget in (3, 5, 6, 7, 50, 131, 132, 133, 134, 135, 136, 300):
+            sent, why = deliver(spark, [("a", 1, 0, 20, length, None, None, None)], budget, 1 << 20, 9)["a"]
+            fits = [n for n in range(1, length + 1) if 5 + (1 if n < 128 else 2) + n <= budget]
+            assert sent == ([(0, 20, 0, max(fits), max(fits) == length)] if fits else [])
+            assert why == (delivery.COMPLETE if fits and max(fits) == length else delivery.BYTE_LIMIT)
+
+
+def test_ids_of_any_size_are_framed(spark):
+    ids = [0, 15, 16, 2047, 2048, (1 << 18) - 1, 1 << 18, (1 << 60) - 1]
+    df = spark.createDataFrame([(i, bytearray(b"x")) for i in ids], "id long, d binary")
+    rows = df.select("id", delivery.message_bytes(F.lit(8), F.col("id"), F.lit(0), F.lit(True), F.col("d")), delivery.id_size(F.col("id"))).collect()
+    for bin_id, message, size in rows:
+        got = delivery.Framing().push(bytes(message))
+        assert got == [(8, bin_id, 0, True, b"x")] and len(message) == size + 5
+    with pytest.raises(Exception, match="auxiliary"):
+        df.select(delivery.message_bytes(F.lit(1), F.col("id"), F.lit(0), F.lit(True), F.col("d"))).collect()
+
+
+def test_a_refused_insert_changes_nothing():
+    c = delivery.RangeCache(max_bytes=10, max_bins=2)
+    with pytest.raises(ValueError, match="identity"):
+        c.insert((0, 1), 0, b"x", False)
+    c.bind("t")
+    c.insert((0, 1), 0, b"0123", False)
+    c.insert((0, 2), 0, b"0123", False)
+    for key, at, data, final in [((0, 3), 0, b"y" * 11, False), ((0, 1), 2, b"xx", False), ((0, 1), 0, b"01", True)]:
+        with pytest.raises(ValueError):
+            c.insert(key, at, data, final)
+        assert set(c.bins) == {(0, 1), (0, 2)} and c.held == 8 and c.evicted == 0
+    assert c.read((0, 1), 0, 4) == b"0123"
+    c.insert((0, 3), 0, b"z", True)
+    assert set(c.bins) == {(0, 1), (0, 3)} and c.held == 5 and c.evicted == 1 and c.evict((0, 3)) and not c.evict((0, 3))
+
+
+def test_a_new_identity_empties_a_streamed_cache(spark, tmp_path):
+    message = delivery.message_bytes(F.lit(0), F.col("i"), F.lit(0), F.lit(True), F.col("d"))
+    df = spark.createDataFrame([(k, bytearray(b"ab")) for k in (1, 2)], "i long, d binary")
+    data = [bytearray(bytes(r[0]) + bytes([0, delivery.COMPLETE, 0])) for r in df.select(message).collect()]
+    rows = [("s", 0, data[0], "t"), ("s", 1, data[1], "u")]
+    spark.createDataFrame(rows, "session string, seq long, data binary, tid string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("session string, seq long, data binary, tid string").parquet(str(tmp_path / "in"))
+    q = delivery.stream_cache(stream, "tid").writeStream.format("memory").queryName("renamed").outputMode("update")
+    q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert [tuple(r) for r in spark.table("renamed").collect()] == [("s", 0, 2, 2, True)]
+
+
+def test_precincts_beyond_the_image_are_refused(spark):
+    rows = spark.createDataFrame([(1, 3, 0), (1, 0, 4)], "s long, c long, t long")
+    for k in range(2):
+        with pytest.raises(Exception, match="no such tile"):
+            rows.where(f"t = {4 * k}").select(protocol.precinct_id(F.col("s"), F.col("c"), F.col("t"), F.lit(3), F.lit(4))).collect()
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -344,6 +414,6 @@ def test_volumes_and_orders(spark):
     df = spark.createDataFrame(rows, "img long, layer int, resolution int, component int, y int, x int")
     seq = {r["seq"]: (r["layer"], r["resolution"], r["component"]) for r in packets.sequence_packets(df, ["img"], "RLCP").collect()}
     assert [seq[k] for k in range(8)] == sorted(seq.values(), key=lambda t: (t[1], t[0], t[2]))
-    vols = spark.createDataFrame([(0, 1, 2, 0, 1), (1, 2, 2, 0, 2)], "volume int, res_end int, layer_end int, comp_start int, comp_end int")
+    vols = [(0, 1, 2, 0, 1), (1, 2, 2, 0, 2)]
     out = packets.first_volume(df, vols, ["img", "layer", "resolution", "component"]).collect()
     assert len(out) == 8 and {r["volume"] for r in out if r["resolution"] == 0 and r["component"] == 0} == {0}
