@@ -30,6 +30,17 @@ def effective(*priorities: Column) -> Column:
     return F.coalesce(*priorities)
 
 
+def channel_of(parts: list[Column], definitions: list[tuple[int, int, bool]], colour: int) -> Column:
+    """The component of a colour by definitions (channel, association, opacity), or else the one of the whole image."""
+    own = [parts[c] for c, a, alpha in definitions if a == colour]
+    grey = [parts[c] for c, a, alpha in definitions if a == 0 and not alpha]
+    return F.coalesce(*own, *grey, F.lit(None))
+
+
+def opacity_of(parts: list[Column], definitions: list[tuple[int, int, bool]]) -> Column:
+    return F.coalesce(*[parts[c] for c, _, alpha in definitions if alpha], F.lit(None))
+
+
 def positional_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of both sides by position; a position that one side lacks has null there and `matched` false."""
     left = a.withColumn("_a", F.lit(True))

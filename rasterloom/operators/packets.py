@@ -21,15 +21,17 @@ def sequence_packets(packets: DataFrame, image: list[str], progression: str) ->
     return packets.withColumn("seq", (F.row_number().over(w) - 1).cast("long"))
 
 
-def first_volume(packets: DataFrame, volumes: DataFrame, keys: list[str]) -> DataFrame:
+def first_volume(packets: DataFrame, volumes: list[tuple[int, int, int, int, int]], keys: list[str]) -> DataFrame:
     """Packets of successive volumes; one that an earlier volume gave is skipped.
 
-    volumes (volume, res_end, layer_end, comp_start, comp_end) are a handful of rows and are sent to every task.
+    volumes (volume, res_end, layer_end, comp_start, comp_end) are header fields: they become one expression, so packets
+    are not joined with anything.
     """
-    inside = (F.col("resolution") < F.col("res_end")) & (F.col("layer") < F.col("layer_end"))
-    inside = inside & F.col("component").between(F.col("comp_start"), F.col("comp_end") - 1)
-    hits = packets.join(F.broadcast(volumes), inside)
-    return hits.groupBy(*keys).agg(F.min("volume").alias("volume"))
+    first = F.lit(None).cast("int")
+    for volume, res_end, layer_end, comp_start, comp_end in sorted(volumes, reverse=True):
+        inside = (F.col("resolution") < res_end) & (F.col("layer") < layer_end) & F.col("component").between(comp_start, comp_end - 1)
+        first = F.when(inside, volume).otherwise(first)
+    return packets.withColumn("volume", first).where("volume IS NOT NULL").groupBy(*keys).agg(F.min("volume").alias("volume"))
 
 
 def running_offset(size: Column, keys: list[str], order: list[str]) -> Column:

@@ -23,21 +23,22 @@ def q_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PIXELS} SELECT l_orderkey, l_linenumber, coalesce(max(CASE WHEN association = 1 THEN v END), max(CASE WHEN association = 0 AND NOT opacity THEN v END)) AS red,
+    f"""WITH {PIXELS}, px AS (SELECT *, row_number() OVER () AS pixel FROM sig)
+    SELECT any_value(l_orderkey) AS l_orderkey, any_value(l_linenumber) AS l_linenumber,
+    coalesce(max(CASE WHEN association = 1 THEN v END), max(CASE WHEN association = 0 AND NOT opacity THEN v END)) AS red,
     coalesce(max(CASE WHEN association = 2 THEN v END), max(CASE WHEN association = 0 AND NOT opacity THEN v END)) AS green,
     max(CASE WHEN opacity THEN v END) AS alpha, count(*) AS n
-    FROM (SELECT l_orderkey, l_linenumber, c, [r, g, b][c + 1] AS v FROM sig, range(3) t(c)) s
-    JOIN (VALUES (0, 2, false), (1, 1, false), (2, 0, true)) d(channel, association, opacity) ON c = channel GROUP BY ALL"""
+    FROM (SELECT l_orderkey, l_linenumber, pixel, c, [r, g, b][c + 1] AS v FROM px, range(3) t(c)) s
+    JOIN (VALUES (0, 2, false), (1, 1, false), (2, 0, true)) d(channel, association, opacity) ON c = channel GROUP BY pixel"""
 )
 def q_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components to colours by channel definitions, with opacity."""
-    rows = pixels(spark, sf_dir).select("l_orderkey", "l_linenumber", F.posexplode(F.array("r", "g", "b")).alias("c", "v"))
-    defs = spark.createDataFrame([(0, 2, False), (1, 1, False), (2, 0, True)], "channel int, association int, opacity boolean")
-    joined = rows.join(F.broadcast(defs), F.col("c") == F.col("channel"))
-    grey = F.max(F.when((F.col("association") == 0) & ~F.col("opacity"), F.col("v")))
-    colour = lambda k: F.coalesce(F.max(F.when(F.col("association") == k, F.col("v"))), grey)
-    return joined.groupBy("l_orderkey", "l_linenumber").agg(
-        colour(1).alias("red"), colour(2).alias("green"), F.max(F.when(F.col("opacity"), F.col("v"))).alias("alpha"), F.count(F.lit(1)).alias("n")
+    """Components to colours by channel definitions, with opacity, within each pixel's row."""
+    definitions = [(0, 2, False), (1, 1, False), (2, 0, True)]
+    px = pixels(spark, sf_dir)
+    parts = [F.col(c) for c in "rgb"]
+    colour = lambda k: lookup.channel_of(parts, definitions, k)
+    return px.select(
+        "l_orderkey", "l_linenumber", colour(1).alias("red"), colour(2).alias("green"), lookup.opacity_of(parts, definitions).alias("alpha"), F.lit(len(definitions)).cast("long").alias("n")
     )
 
 
@@ -65,9 +66,8 @@ def q_tiles_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {REGIONS}, blocks AS (SELECT bx, by_, bx * 64 AS cx, by_ * 64 AS cy FROM range(64) a(bx), range(64) b(by_)),
-    r AS (SELECT * FROM regions WHERE req_id % 8 = 0)
-    SELECT req_id, bx, by_ FROM r JOIN blocks ON cx < x + w + 4 AND x - 4 < cx + 64 AND cy < y + h + 4 AND y - 4 < cy + 64"""
+    f"""WITH {REGIONS}, cols AS (SELECT bx, bx * 64 AS cx FROM range(64) a(bx)), rws AS (SELECT by_, by_ * 64 AS cy FROM range(64) b(by_))
+    SELECT req_id, bx, by_ FROM regions JOIN cols ON cx < x + w + 4 AND x - 4 < cx + 64 JOIN rws ON cy < y + h + 4 AND y - 4 < cy + 64"""
 )
 def q_codeblock_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code blocks that a window with its halo depends on: enumerated by number, then met by equality."""
@@ -96,8 +96,8 @@ def q_effective_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("l_orderkey", "l_linenumber", step.alias("step"))
 
 
-_YCC = f"""WITH {PLANES}, j AS (SELECT a.vec_id, a.y, a.x, a.v + 128 AS luma, b.v + 128 AS cb, c.v + 128 AS cr FROM sig a
-    JOIN sig b ON a.vec_id = b.vec_id AND a.y // 2 = b.y AND a.x // 2 = b.x JOIN sig c ON a.vec_id = c.vec_id AND a.y // 2 + 4 = c.y AND a.x // 2 = c.x)"""
+_YCC = """WITH p AS MATERIALIZED (SELECT vec_id, list_transform(embedding[1:64], lambda e: greatest(-128, least(127, floor(e::DOUBLE * 128)))::BIGINT + 128) AS v FROM embeddings),
+    j AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, v[i + 1] AS luma, v[i // 16 * 8 + i % 8 // 2 + 1] AS cb, v[i // 16 * 8 + i % 8 // 2 + 33] AS cr FROM p, range(64) t(i))"""
 
 
 @query(f"{_YCC} SELECT vec_id, y, x, luma, cb, cr FROM j")
@@ -137,8 +137,8 @@ def q_component_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components in the order of the request."""
     k = F.col("o_orderkey")
     req = read_table(spark, sf_dir, "orders").select(k.alias("req_id"), F.posexplode(F.array(k % 3, (k + 1) % 3)).alias("pos", "component"))
-    names = spark.createDataFrame([(0, "red"), (1, "green"), (2, "blue")], "component long, name string")
-    return req.join(F.broadcast(names), "component").select("req_id", "pos", "component", "name")
+    names = F.array(*map(F.lit, ["red", "green", "blue"]))
+    return req.withColumn("name", F.get(names, F.col("component").cast("int"))).where("name IS NOT NULL")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_suppkey % 6 AS resolution, l_partkey % 8 AS layer FROM lineitem WHERE l_suppkey % 6 <= 5 - 2 AND l_partkey % 8 < 3")
@@ -327,8 +327,7 @@ _VOLUMES = [(0, 2, 1, 0, 3), (1, 4, 2, 0, 2), (2, 4, 3, 1, 3)]
     AND component >= comp_start AND component < comp_end GROUP BY ALL"""
 )
 def q_poc_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    volumes = spark.createDataFrame(_VOLUMES, "volume int, res_end int, layer_end int, comp_start int, comp_end int")
-    return packets.first_volume(_packets(spark, sf_dir), volumes, ["l_orderkey", "layer", "resolution", "component", "y", "x"])
+    return packets.first_volume(_packets(spark, sf_dir), _VOLUMES, ["l_orderkey", "layer", "resolution", "component", "y", "x"])
 
 
 @query(
@@ -423,7 +422,7 @@ def q_identity_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{_MERGED}, want AS (SELECT l_suppkey AS k, l_orderkey, l_linenumber, l_orderkey * 10 + 2 AS a, l_orderkey * 10 + 6 AS b FROM lineitem WHERE l_linenumber = 1)
+    f"""{_MERGED}, want AS (SELECT l_suppkey AS k, l_orderkey, l_linenumber, l_orderkey * 10 + 2 AS a, l_orderkey * 10 + 6 AS b FROM lineitem)
     SELECT w.k, w.l_orderkey, w.a, w.b, m.s, m.e FROM want w JOIN merged m ON w.k = m.k AND m.s <= w.a AND m.e >= w.b"""
 )
 def q_cache_read(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -503,6 +502,90 @@ def q_box_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "customer").select("c_custkey", boxes.order_status(types).alias("status"))
 
 
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'jp2' ELSE 'jph' END AS kind, 1 + c_custkey % 500 AS height, 1 + c_custkey % 300 AS width, 3::BIGINT AS components,
+    CASE WHEN c_custkey % 3 > 0 THEN 8::BIGINT END AS bits, CASE WHEN c_custkey % 3 = 0 THEN [8, 12, 1 + c_custkey % 38] END AS depths,
+    'enumerated' AS method, CASE c_custkey % 4 WHEN 0 THEN 16 WHEN 1 THEN 18 ELSE 16 END::BIGINT AS space, strlen(c_name)::BIGINT AS stream_bytes,
+    ['xml ', 'zzzz'] AS metadata, c_name AS note, 'ok' AS status FROM customer"""
+)
+def q_box_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole containers, written by expressions; fields, metadata and status read back."""
+    from rasterloom.sources import boxes, containers
+
+    c = read_table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    name = F.encode("c_name", "UTF-8")
+    varying = k % 3 == 0
+    header = boxes.image_header(1 + k % 500, 1 + k % 300, F.lit(3), F.when(varying, 256).otherwise(8))
+    depths = boxes.bits_per_component(F.array(F.lit(8), F.lit(12), (1 + k % 38).cast("int")), F.array(*[F.lit(False)] * 3))
+    colour = F.when(k % 4 == 1, boxes.colour_specification(containers.SYCC)).otherwise(boxes.colour_specification(containers.SRGB))
+    second = boxes.colour_specification(containers.GREY)
+    inner = F.concat(header, F.when(varying, depths).otherwise(F.unhex(F.lit(""))), colour, second, boxes.write_box("zzzz", F.unhex(F.lit("01"))))
+    kind = F.when(k % 2 == 0, boxes.file_type("jp2 ")).otherwise(boxes.file_type("jph "))
+    payload = F.concat(boxes.signature(), kind, boxes.write_box("xml ", name), boxes.header_superbox(inner), boxes.codestream(name))
+    found = containers.parse_containers(c.select("c_custkey", payload.alias("payload")), "c_custkey", "payload")
+    return found.select(
+        "c_custkey", "kind", "header.height", "header.width", "header.components", "header.bits",
+        F.when(F.size("depths.depths") > 0, F.transform("depths.depths", lambda d: d["bits"])).alias("depths"),
+        "colour.method", "colour.space", F.get("codestreams", F.lit(0))["size"].alias("stream_bytes"),
+        F.transform("metadata", lambda m: m["type"]).alias("metadata"), F.decode(F.get("metadata", F.lit(0))["data"], "UTF-8").alias("note"), "status",
+    )
+
+
+@query(
+    """WITH t AS (SELECT p_partkey, p_partkey % 5 AS entries, p_size % 4 AS columns, p_partkey % 3 - 1 AS extra FROM part)
+    SELECT p_partkey, CASE WHEN entries = 0 THEN 'palette entries' WHEN columns = 0 THEN 'palette columns' WHEN extra <> 0 THEN 'palette length'
+    WHEN p_partkey % 7 = 0 THEN 'palette padding' ELSE 'ok' END AS palette,
+    CASE WHEN p_partkey % 4 = 3 THEN 'mapped component' WHEN p_partkey % 6 = 5 THEN 'mapping type' WHEN p_partkey % 6 = 0 AND p_size % 5 > 0 THEN 'direct mapping with a column'
+    WHEN p_partkey % 6 BETWEEN 1 AND 4 AND p_size % 5 >= 3 THEN 'palette column' ELSE 'ok' END AS mapping FROM t JOIN part USING (p_partkey)"""
+)
+def q_palette_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Palettes of 7-bit columns and mappings of one channel, some of them against the rules."""
+    from rasterloom.sources import boxes, containers
+
+    p = read_table(spark, sf_dir, "part")
+    k, size = F.col("p_partkey"), F.col("p_size").cast("long")
+    entries, columns = k % 5, size % 4
+    cells = F.greatest(F.lit(0).cast("long"), entries * columns + k % 3 - 1)
+    value = F.when(k % 7 == 0, "FF").otherwise("7F")
+    palette = F.concat(boxes.u16(entries), boxes.u8(columns), F.unhex(F.repeat(F.lit("06"), columns.cast("int"))), F.unhex(F.repeat(value, cells.cast("int"))))
+    kind = F.when(k % 6 == 0, 0).when(k % 6 == 5, 2).otherwise(1)
+    mapping = F.concat(boxes.u16(k % 4), boxes.u8(kind), boxes.u8(size % 5))
+    found = p.select("p_partkey", palette.alias("palette"), mapping.alias("mapping"))
+    return found.select(
+        "p_partkey", containers.palette_fields(F.col("palette"))["status"].alias("palette"), containers.mapping_fields(F.col("mapping"), F.lit(3), F.lit(3))["status"].alias("mapping")
+    )
+
+
+@query(
+    """WITH t AS (SELECT o_orderkey, [o_orderkey % 4, o_custkey % 4, 2] AS ch, [0, [0, 0, 1, 5][o_orderkey % 4 + 1], [0, 1, 2, 65535][o_custkey % 4 + 1]] AS kind,
+      [o_orderkey % 3, o_custkey % 5, o_orderkey % 2] AS assoc FROM orders),
+    e AS (SELECT *, list_zip(ch, kind, assoc) AS e FROM t),
+    a AS (SELECT *, list_filter(e, lambda x: x[2] IN (1, 2)) AS alphas, list_filter(e, lambda x: x[2] = 0) AS colours FROM e)
+    SELECT o_orderkey, CASE WHEN len(list_filter(e, lambda x: x[1] > 2)) > 0 THEN 'unknown channel'
+    WHEN len(list_filter(e, lambda x: x[2] NOT IN (0, 1, 2, 65535))) > 0 THEN 'channel type'
+    WHEN len(list_filter(e, lambda x: x[2] = 0 AND x[3] = 0)) > 0 THEN 'colour without association'
+    WHEN len(list_filter(e, lambda x: x[2] <> 65535 AND x[3] > 3)) > 0 THEN 'association beyond the colours'
+    WHEN len(list_filter(alphas, lambda x: x[1] = 2)) > 0 THEN 'signed opacity'
+    WHEN len(list_distinct(list_transform(e, lambda x: [x[2], x[3]]))) < 3 THEN 'repeated meaning'
+    WHEN len(alphas) = 2 AND alphas[1][3] = alphas[2][3] THEN 'mixed opacity'
+    WHEN len(list_filter(alphas, lambda x: x[3] = 0)) > 0 AND len(list_filter(alphas, lambda x: x[3] > 0)) > 0 THEN 'opacity of whole and part'
+    WHEN len(list_distinct(ch)) < 3 THEN 'undescribed channel'
+    WHEN len(list_distinct(list_transform(colours, lambda x: x[3]))) < 3 THEN 'undescribed colour' ELSE 'ok' END AS status FROM a"""
+)
+def q_cdef_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channel definitions of three channels (the last is signed) in a colour space of three."""
+    from rasterloom.sources import boxes, containers
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
+    rows = [(k % 4, F.lit(0), k % 3), (c % 4, pick([0, 0, 1, 5], k), c % 5), (F.lit(2), pick([0, 1, 2, 65535], c), k % 2)]
+    data = F.concat(boxes.u16(F.lit(3)), *[boxes.u16(v) for row in rows for v in row])
+    signed = F.array(F.lit(False), F.lit(False), F.lit(True))
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", data.alias("data"))
+    return o.select("o_orderkey", containers.channel_fields(F.col("data"), signed, F.lit(3), F.lit(False))["status"].alias("status"))
+
+
 @query(f"WITH {EVENTS} SELECT user_id, count(*) AS n, sum(v)::BIGINT AS total, max(v) AS peak FROM sig GROUP BY user_id")
 def q_work_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checked sums and ceilings of counters; an overflow is an error in ANSI mode."""
