@@ -7,11 +7,12 @@ pre-tokens end give their counts, which are summed over each whole text.
 
 The score of a piece is that of its vocabulary file; a character without a piece costs its UTF-8 bytes, each as one token
 of the byte fallback. Of equal scores the segmentation whose last piece is longest wins. The vocabulary is read once by
-the driver and sent to the tasks: its size is fixed by the file. A trie that outgrows TRIE_NODES is begun anew after the
-text at hand.
+the driver and sent to the tasks: its size is fixed by the file. A trie that outgrows TRIE_NODES is begun anew after at
+most STRETCH words, and a pre-token of more than LONG characters gets nodes for its first LONG only: what a task holds does
+not grow with the length of a text or of a word, and the counts do not depend on either.
 
-Null and empty texts, and texts of spaces only, have 0 tokens. Repeated rows get equal rows. Empty tables give an empty
-result. Other columns are not looked at.
+Null and empty texts, and texts of spaces only, have 0 tokens. Null ids and repeated rows get their rows. Empty tables
+give an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +31,10 @@ from rasterloom.llm.storage import text_batches
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 TRIE_NODES = 1_000_000
+#: Characters of a pre-token that get nodes of the trie; a longer one is counted on from there without any.
+LONG = 2_048
+#: Words of a text that are looked up between two looks at the size of the trie.
+STRETCH = 20_000
 #: Rows handled at once, so that a batch's distinct pre-tokens stay few.
 ROWS = 500
 
@@ -59,6 +65,8 @@ class Trie:
             for k in range(len(p)):
                 self.ends.setdefault(p[k:], None)
         self.ends.update(pieces)
+        #: Characters of the longest piece.
+        self.reach = min(LONG, max(map(len, pieces), default=1))
         self.clear()
 
     def clear(self) -> None:
@@ -68,6 +76,8 @@ class Trie:
 
     def insert(self, word: str) -> tuple[int, float]:
         """Tokens and score of a pre-token; only nodes that are new are computed."""
+        if len(word) > LONG:
+            return self._beyond(word)
         nexts, score, count, ends = self.next, self.score, self.count, self.ends
         node, path = 0, [0]
         for c in word:
@@ -105,6 +115,36 @@ class Trie:
         return count[node], score[node]
 
 
+    def _beyond(self, word: str) -> tuple[int, float]:
+        """A long word: a prefix of LONG characters is shared, and after it only what pieces can reach back to is held."""
+        reach, ends = self.reach, self.ends
+        done = [self.insert(word[: LONG - k]) for k in range(reach, -1, -1)]  # what ends before each of the last places
+        counts, scores = [c for c, _ in done], [s for _, s in done]
+        for end in range(LONG + 1, len(word) + 1):
+            c = word[end - 1]
+            p = ends.get(c)
+            if p is None:
+                size = len(c.encode("utf-8", "surrogatepass"))
+                best, tokens = scores[-1] + size * self.byte, counts[-1] + size
+            else:
+                best, tokens = scores[-1] + p, counts[-1] + 1
+            if c in ends:
+                for back in range(2, reach + 1):
+                    p = ends.get(word[end - back : end], 1.0)
+                    if p is None:
+                        continue
+                    if p > 0:
+                        break
+                    s = scores[-back] + p
+                    if s >= best:
+                        best, tokens = s, counts[-back] + 1
+            scores.append(best)
+            counts.append(tokens)
+            if len(scores) > 4 * reach + 64:
+                del scores[: -reach - 1], counts[: -reach - 1]
+        return counts[-1], scores[-1]
+
+
 class _Memo(dict):
     """Token counts by word, found on first use; scores beside them. Begins anew when the trie outgrows TRIE_NODES."""
 
@@ -118,7 +158,7 @@ class _Memo(dict):
         return n
 
     def trim(self) -> None:
-        """Between texts only, so that the words of one text are all known when they are summed."""
+        """Between stretches of words only, so that the words of one are all known when they are summed."""
         if len(self.trie.score) > TRIE_NODES:
             self.trie.clear()
             self.scores.clear()
@@ -129,6 +169,16 @@ def pretokens(text: str) -> list[str]:
     return [MARK + w for w in _SPLIT.findall(text)]
 
 
+def _stretches(text: str) -> Iterator[list[str]]:
+    """The words of a text, at most STRETCH at a time."""
+    if len(text) < 4 * STRETCH:
+        yield _SPLIT.findall(text)
+        return
+    words = (m[0] for m in _SPLIT.finditer(text))
+    while found := list(islice(words, STRETCH)):
+        yield found
+
+
 def _counter(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Memo(Trie(sent.value))
@@ -137,11 +187,15 @@ def _counter(sent):
                 part = batch.slice(i, ROWS)
                 words, tokens, scores = [], [], []
                 for text in part.column(1).to_pylist():
-                    found = _SPLIT.findall(text) if text else []
-                    words.append(len(found))
-                    tokens.append(sum(map(known.__getitem__, found)))
-                    scores.append(round(math.fsum(map(known.scores.__getitem__, found)), 6))
-                    known.trim()
+                    n, total, sums = 0, 0, []
+                    for found in _stretches(text or ""):
+                        n += len(found)
+                        total += sum(map(known.__getitem__, found))
+                        sums.append(math.fsum(map(known.scores.__getitem__, found)))
+                        known.trim()
+                    words.append(n)
+                    tokens.append(total)
+                    scores.append(round(math.fsum(sums), 6))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64()), pa.array(scores, pa.float64())],
                     ["doc_id", "n_pretokens", "n_tokens", "log_score"],
