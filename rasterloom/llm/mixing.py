@@ -8,9 +8,10 @@ the target. Targets stop at `cap` times their source's size and the excess is sh
 The prefix sum needs no task that sees a whole source: rows are range-partitioned by (source, size, id), numbered within
 their partition, and shifted by the counts of the partitions before (one row per partition and source).
 
-Null and empty texts have size 0; they take part and count 0 words. A null source is a source of its own, last in order.
-Rows with equal (source, size, id) are ordered arbitrarily among themselves: the counts of the group agree between runs.
-An empty table gives an empty result. A source of size 0 gets target 0. Other columns are kept by `sample`.
+Null and empty texts have size 0; they take part and count 0 words. Very long texts are counted whole. A null source is a source of its own, last in order.
+Rows with equal (source, size, id) are ordered arbitrarily among themselves: the counts of the group agree between runs;
+rows with null ids come first among equal sizes. The driver gathers nothing; the targets are worked out in one task over
+one row a source, so sources may number millions, not billions. An empty table gives an empty result. A source of size 0 gets target 0. Other columns are kept by `sample`.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "systematic"
+#: Rows of a range of documents, on average.
+ROWS = 1_000_000
 
 
 def word_count(column: str = "text"):
@@ -58,7 +61,9 @@ def targets(totals: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> Data
 def _ranked(sized: DataFrame) -> DataFrame:
     """sized (source, size, doc_id, ...) with `place`: the row's number within its source, by size and id."""
     keys = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id")]
-    parts = sized.repartitionByRange(shuffle_partitions(sized.sparkSession), *keys).withColumn("part", F.spark_partition_id())
+    sized = stage(sized, "mix-sizes")  # texts are read once; the ranges are drawn from, and dealt to, this narrow table
+    tasks = max(shuffle_partitions(sized.sparkSession), sized.count() // ROWS + 1)
+    parts = sized.repartitionByRange(tasks, *keys).withColumn("part", F.spark_partition_id())
     parts = stage(parts, "mix-ranges")
     counts = parts.groupBy("part", "source").agg(F.count(F.lit(1)).alias("n"))
     shift = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
@@ -77,8 +82,10 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame
     totals = ranked.groupBy("source").agg(F.sum("size").alias("source_size"))
     t = targets(stage(totals, "mix-totals"), weights, cap)
     joined = ranked.alias("r").join(t.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
-    upto = lambda k: F.floor(F.col("offset") + F.col("ratio") * k)
-    copies = (upto(F.col("place")) - upto(F.col("place") - 1)).cast("long")
+    # Whole copies are set apart, so that rounding cannot add to them at large places.
+    whole = F.floor("ratio")
+    upto = lambda k: F.floor(F.col("offset") + (F.col("ratio") - whole) * k)
+    copies = (whole + upto(F.col("place")) - upto(F.col("place") - 1)).cast("long")
     return joined.select("r.doc_id", "r.source", "r.size", "t.source_size", "t.target", copies.alias("copies"))
 
 

@@ -179,7 +179,7 @@ ORACLE_SQL = {
                    row_number() OVER (PARTITION BY s.source ORDER BY s.size, s.doc_id) AS place
             FROM sized s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target,
-               size * (floor(shift + ratio * place)::BIGINT - floor(shift + ratio * (place - 1))::BIGINT) AS taken
+               size * (floor(ratio)::BIGINT + floor(shift + (ratio - floor(ratio)) * place)::BIGINT - floor(shift + (ratio - floor(ratio)) * (place - 1))::BIGINT) AS taken
         FROM placed
     """,
     "op10_suffix_dedup": """
