@@ -6,8 +6,10 @@ the whole digest, so a digest that is not in the history is never taken for a me
 group; the others are grouped among themselves. All that moves is a digest and an id a row, and rows are reduced to one
 per digest before they move, so a group that holds a third of all rows is no larger than any other.
 
-Null texts count as empty, and empty texts are equal to each other. Null ids never win over others. Repeated rows each
-count in group_size; where several rows with equal texts have the winner's id, all of them are kept. An empty table gives an empty result. Other columns are not looked at.
+Null texts count as empty, and empty texts are equal to each other; very long texts are read whole. The row with the
+largest id wins; null ids never win over others. Repeated rows each count in group_size, and of several rows with the
+winner's id one stays. Rows are told apart by a number that they get when their digests are written, so every group
+keeps exactly one row, whatever its ids. An empty table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.storage import shuffle_partitions, stage
+from rasterloom.llm.storage import drop_ids, shuffle_partitions, stage
 from rasterloom.llm.words import mix
 
 #: Mean digests of a bucket of the perfect hash, and the digests a shard may hold on average.
@@ -97,18 +99,21 @@ def _merge_shard(history: pa.Table, incoming: pa.Table) -> pa.Table:
     member = at >= 0
     if member.any():
         member[member] = (ours[at[member]] == theirs[member]).all(axis=1)
-    more_winner, more_size = incoming["winner"].to_pylist(), incoming["size"].to_pylist()
+    locator = history["locator"].to_pylist()
+    more_winner, more_size, more_locator = (incoming[c].to_pylist() for c in ("winner", "size", "locator"))
+    rank = lambda w, where: (w is not None, w or 0, where)
     for i in np.flatnonzero(member).tolist():
         r = int(at[i])
         size[r] += more_size[i]
-        if winner[r] is None or (more_winner[i] is not None and more_winner[i] > winner[r]):
-            winner[r] = more_winner[i]
+        if rank(more_winner[i], more_locator[i]) > rank(winner[r], locator[r]):
+            winner[r], locator[r] = more_winner[i], more_locator[i]
     rest = np.flatnonzero(~member).tolist()
     digests = history["digest"].to_pylist() + [incoming["digest"][i].as_py() for i in rest]
     return pa.table(
         {
             "digest": pa.array(digests, pa.binary()),
             "winner": pa.array(winner + [more_winner[i] for i in rest], pa.int64()),
+            "locator": pa.array(locator + [more_locator[i] for i in rest], pa.int64()),
             "size": pa.array(size + [more_size[i] for i in rest], pa.int64()),
             "historical": pa.array([True] * len(ours) + [False] * len(rest), pa.bool_()),
         }
@@ -122,37 +127,59 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def groups(history: DataFrame, incoming: DataFrame) -> DataFrame:
-    """digest, winner, size, historical for both inputs of (doc_id, digest)."""
+    """digest, winner, locator (its row), size, historical for both inputs of (doc_id, digest, row)."""
     spark = history.sparkSession
-    agg = [F.max("doc_id").alias("winner"), F.count(F.lit(1)).alias("size")]
-    old, new = (x.groupBy("digest").agg(*agg) for x in (history, incoming))
+    best = F.max(F.struct("doc_id", "row")).alias("best")
+    old, new = (x.groupBy("digest").agg(best, F.count(F.lit(1)).alias("size")) for x in (history, incoming))
     old = stage(old, "digest-history")
     shards = max(4 * shuffle_partitions(spark), old.count() // SHARD + 1)
     shard = F.pmod(F.xxhash64("digest"), F.lit(shards)).alias("shard")
-    old, new = (x.select(shard, "digest", "winner", "size") for x in (old, new))
+    cols = [shard, "digest", F.col("best.doc_id").alias("winner"), F.col("best.row").alias("locator"), "size"]
     return (
-        old.groupBy("shard")
-        .cogroup(new.groupBy("shard"))
-        .applyInArrow(_merge_shard, "digest binary, winner long, size long, historical boolean")
-    )
+        old.select(*cols).groupBy("shard")
+        .cogroup(new.select(*cols).groupBy("shard"))
+        .applyInArrow(_merge_shard, "digest binary, winner long, locator long, size long, historical boolean")
+    )
 
 
 def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """One row per row of docs: doc_id, digest, keep_id, group_size, kept.
 
-    With a history (doc_id, text), repeats of it are judged together with it. Without one, the rows of docs with an even
-    checksum of their digest serve as the history of the others, so both paths are in use.
+    With a history (doc_id, text), repeats of it are judged together with it, and a row that ties with one of it goes.
+    Without one, the rows of docs with an even checksum of their id serve as the history of the others, so both paths are
+    in use.
     """
-    new = stage(digests(docs), "digests")
+    new = stage(digests(docs).withColumn("row", F.monotonically_increasing_id()), "digests")
     if history is None:
         early = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 2 == 0
         merged = groups(new.where(early), new.where(~early))
     else:
-        merged = groups(digests(history), new)
+        merged = groups(digests(history).withColumn("row", F.lit((1 << 63) - 1)), new)
     return new.join(merged, "digest").select(
         "doc_id",
         "digest",
         F.col("winner").alias("keep_id"),
         F.col("size").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("winner")).alias("kept"),
+        (F.col("row") == F.col("locator")).alias("kept"),
     )
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """docs with one row of each text, the one with the largest id; columns as they came.
+
+    Rows go by their id, most of them without moving. Where several rows have one id, or none, they are compared with the
+    kept texts of that id, and one of each stays.
+    """
+    found = stage(exact_dedup(docs.select("doc_id", "text")).select("doc_id", "digest", "kept"), "judged")
+    by_id = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    by_id = stage(by_id.where("doc_id IS NULL OR NOT kept OR rows > 1"), "judged-ids")
+    odd = by_id.where("doc_id IS NULL OR (kept AND rows > 1)")
+    plain = drop_ids(docs.where("doc_id IS NOT NULL"), by_id.select("doc_id"), "doc_id")
+    if odd.isEmpty():
+        return plain
+    pairs = found.where("kept").join(odd.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    pairs = pairs.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    again = docs.withColumn("_own", F.unhex(F.sha2(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"), 256)))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))
+    again = again.join(pairs, same).dropDuplicates(["_id", "_digest"])
+    return plain.unionByName(again.select(docs.columns))

@@ -19,19 +19,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one is made only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir. A local one is made only where that is unset and all runs on one machine."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_rasterloom_dir", None)
     if not found:
+        if not (sc.master or "").split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = sc._rasterloom_dir = tempfile.mkdtemp(prefix="rasterloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found.rstrip("/")
 
 
+def remove_staged(spark: SparkSession) -> None:
+    """Delete the tables that this application has staged. Results that are still lazy cannot be read after this."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/rasterloom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: later reads survive the loss of any executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rasterloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/rasterloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
