@@ -51,11 +51,15 @@ def test_exact_dedup_edge_cases(spark):
     for i, t in rows:
         groups[t or ""].append(i)
     assert len(out) == len(rows)
-    by_id = {r["doc_id"]: r for r in out}
-    for ids in groups.values():
+    want, kept = Counter(), Counter()
+    for t, ids in groups.items():
         keep = max((i for i in ids if i is not None), default=None)
+        kept[t, keep] = 1
         for i in ids:
-            assert (by_id[i]["keep_id"], by_id[i]["group_size"], by_id[i]["kept"]) == (keep, len(ids), i == keep)
+            want[i, keep, len(ids)] += 1
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"]) for r in out) == want
+    digest = {hashlib.sha256(t.encode()).digest(): t for t in groups}
+    assert Counter((digest[bytes(r["digest"])], r["doc_id"]) for r in out if r["kept"]) == kept  # one row of each text
     assert exact_dedup.exact_dedup(frame(spark, rows).where("false")).count() == 0
 
 
@@ -65,6 +69,19 @@ def test_exact_dedup_against_history(spark):
     assert got == {2: (3, 3, False), 4: (5, 2, False), 5: (5, 2, True), 6: (9, 2, False)}
 
 
+def test_repeated_rows_and_rows_without_ids_are_dropped(spark):
+    rows = odd_rows() + [(7, "other"), (7, "other"), (6, "other"), (None, "word"), (None, None), (None, "alone"), (None, "alone"), (9, "x"), (9, "y")]
+    docs = frame(spark, rows)
+    got = exact_dedup.remove_repeats(docs.repartition(3))
+    assert got.columns == docs.columns
+    best = {}
+    for i, t, *_ in rows:
+        best[t or ""] = max(best.get(t or "", -1), -1 if i is None else i)
+    assert Counter((t or "", -1 if i is None else i) for i, t, *_ in got.collect()) == Counter(best.items())
+    unique = [(i, t) for i, t, *_ in rows[:4]]
+    assert sorted(r["doc_id"] for r in exact_dedup.remove_repeats(frame(spark, unique)).collect()) == [2, 3, 4]
+
+
 # 6: language ID
 
 
@@ -162,6 +179,15 @@ def test_decontamination_equals_brute_force(spark, sf_dir, corpus):
             decontaminate.BLOCK_WINDOWS = old
         assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["digest"]) for r in out} == want
         assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_hit"] for r in out)
+    again = [(None, docs[-1][1]), (None, docs[-2][1]), (1003, docs[-1][1]), (1003, docs[-1][1])]
+    seen = []
+    for block in (decontaminate.BLOCK_WINDOWS, 150):  # rows that share an id, or have none, stay apart
+        old, decontaminate.BLOCK_WINDOWS = decontaminate.BLOCK_WINDOWS, block
+        try:
+            seen.append(as_sets(decontaminate.find_hits(frame(spark, odd_rows() + docs + again), items).collect()))
+        finally:
+            decontaminate.BLOCK_WINDOWS = old
+    assert seen[0] == seen[1] and len(seen[0]) == len(odd_rows() + docs + again)
     none = decontaminate.find_hits(frame(spark, odd_rows()), items.where("false"))
     assert none.count() == len(odd_rows()) and none.where("n_hit > 0").count() == 0
     kept = decontaminate.remove_documents(frame(spark, docs), items)
@@ -216,6 +242,25 @@ def test_chat_round_trip(spark):
     assert chat_format.format_chats(turns.where("false")).count() == 0
 
 
+def test_roles_of_control_characters_and_backslashes_come_back(spark):
+    roles = ["a\0\0b", "\\", "\\n", "\n\\", "\\\n\\\\n", "<\\|", "<|im_end|>", "\0"]
+    rows = [(i, 0, r, "t") for i, r in enumerate(roles)]
+    out = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r[0]: r[1] for r in out.select("conv_id", chat_format.read_turns(F.col("formatted"))[0]["role"]).collect()}
+    assert got == dict(enumerate(roles))
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    """Work that grew with the square of the turns would take hours here."""
+    n = 60_000
+    turns = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "IF(id % 3 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text")
+    out = chat_format.format_chats(turns)
+    loss = F.array_join(chat_format.loss_texts(F.col("formatted"), F.col("loss_spans")), "")
+    row = out.select(F.size(chat_format.read_turns(F.col("formatted"))).alias("n"), F.md5(loss).alias("loss"), "n_blocks").first()
+    want = "".join(f"t{i}" for i in range(n) if i % 3)
+    assert row["n"] == n and row["n_blocks"] == 2 * n // 3 and row["loss"] == hashlib.md5(want.encode()).hexdigest()
+
+
 def test_chat_query_has_the_extra_conversation(spark, sf_dir):
     row = queries.op2_chat_format(spark, sf_dir).where("conv_id = -1").first()
     text = "<|im_end|><|im_start|>assistant ok"
@@ -326,6 +371,54 @@ def test_isotonic_pools_violators():
     assert np.allclose(out, [0, 0.3, 0.3, 0.8, 0.8])
 
 
+def test_quality_equals_plain_arithmetic(spark):
+    """Statistics, ridge and calibration of the whole operator, worked out again without its tables and partitions."""
+    rng = random.Random(21)
+    texts = {i: " ".join(rng.choice(["the", "a", "x", "buy!", "NOW", "9", "longerwordhere"][i % 2 * 3 :]) for _ in range(rng.randint(1, 80))) for i in range(400)}
+    texts |= {1000: None, 1001: "", 1002: "one\none\n|"}
+    labels = {i: i % 2 if rng.random() < 0.9 else 1 - i % 2 for i in range(400)}
+    docs = frame(spark, list(texts.items()))
+    stats = quality.document_statistics(docs)
+    y = quality.clean_labels(spark.createDataFrame(list(labels.items()), "doc_id long, quality int"))
+    got = {r["doc_id"]: r["score"] for r in quality.score(stats, quality.fit(stats, y)).collect()}
+
+    def plain(text):
+        b = (text or "").encode()
+        words, lines = b.split(), [x for x in b.split(b"\n") if x]
+        kinds = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\v\f", b"\n", b".,;:?'\"", b"|", b"!", b"*#$%&@=+~^_\\/<>", b"()[]{}"]
+        shares = [sum(c in k for c in b) for k in kinds]
+        wide = sum(c > 127 for c in b)
+        shares += [len(b) - sum(shares) - wide, wide]
+        n, pairs = max(1, len(words)), list(zip(words, words[1:]))
+        return [
+            np.log1p(len(b)), np.log1p(len(words)), np.log1p(len(lines)), *[x / max(1, len(b)) for x in shares], sum(map(len, words)) / n, np.log1p(len(b) / max(1, len(lines))),
+            sum(len(w) <= 3 for w in words) / n, sum(len(w) >= 12 for w in words) / n, len(set(words)) / n, max(Counter(words).values(), default=0) / n,
+            len(set(lines)) / max(1, len(lines)), len(set(pairs)) / len(pairs) if pairs else 1.0,
+        ]
+
+    x = {i: np.array(plain(t)) for i, t in texts.items()}
+    assert all(np.allclose(x[r["doc_id"]], r["x"]) for r in stats.collect())
+    rows = sorted(labels)
+    rest = [zlib.crc32(str(i).encode()) % 25 >= 20 for i in rows]
+    table, target = np.array([x[i] for i in rows]), np.array([labels[i] for i in rows], float)
+    fourier = quality.Fourier(table.mean(axis=0), np.maximum(table.std(axis=0), 1e-6))
+    fitted, held = ~np.array(rest), np.array(rest)
+    z = fourier(table[fitted])
+    gram = z.T @ z
+    beta = np.linalg.solve(gram + quality.RIDGE * max(1.0, gram[-1, -1]) / quality.FEATURES * np.eye(len(gram)), z.T @ target[fitted])
+    ridge = lambda t: np.clip(fourier(t) @ beta, 0, 1)
+    at = np.rint(ridge(table[held]) * quality.BINS)
+    knots = np.array(sorted(set(at)))
+    share = np.array([target[held][at == k].mean() for k in knots])
+    weight = np.array([(at == k).sum() for k in knots], float)
+    # Isotonic regression as the largest of least means.
+    mean = lambda a, b: (share[a : b + 1] * weight[a : b + 1]).sum() / weight[a : b + 1].sum()
+    steps = [max(min(mean(a, b) for b in range(k, len(knots))) for a in range(k + 1)) for k in range(len(knots))]
+    every = np.array([x[i] for i in texts])
+    want = 0.999 * np.interp(ridge(every), knots / quality.BINS, steps) + 0.001 * ridge(every)
+    assert np.allclose([got[i] for i in texts], want, atol=2e-3)
+
+
 def test_quality_held_out_and_edge_cases(spark, corpus):
     big = "/root/testdata/sf0.01"
     out = queries.op1_quality(spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").collect()
@@ -355,6 +448,45 @@ def test_trie_counts_equal_brute_force():
     assert trie.insert(token_counts.MARK + "x")[0] == 2
 
 
+def test_long_words_are_counted_without_nodes(monkeypatch):
+    pieces = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.1, "ba": -3.0, "▁a": -2.9, "aba": -4.0, "é": -5.0, "bbbbbbb": -6.0}
+    rng = random.Random(14)
+    words = [token_counts.MARK + "".join(rng.choice("abéx") for _ in range(n)) for n in (0, 5, 15, 16, 17, 40, 300, 1000)] + [token_counts.MARK + "b" * 200]
+    want = [token_counts.Trie(pieces).insert(w) for w in words]
+    monkeypatch.setattr(token_counts, "LONG", 16)
+    trie = token_counts.Trie(pieces)
+    got = [trie.insert(w) for w in words]
+    assert [n for n, _ in got] == [n for n, _ in want] and np.allclose([s for _, s in got], [s for _, s in want])
+    assert len(trie.score) <= 1 + 17 * len(words)
+
+
+def test_token_counts_equal_brute_force_over_documents(spark):
+    pieces = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.1, "ba": -3.0, "▁a": -2.9, "aba": -4.0}
+
+    def fewest(word):
+        """Tokens of the best segmentation; of equal ones that whose last piece is longest."""
+        best = [(0.0, 0)]
+        for end in range(1, len(word) + 1):
+            options = []
+            for start in range(end):
+                p, n = pieces.get(word[start:end]), 1
+                if p is None and end - start == 1:
+                    n = len(word[start:end].encode())
+                    p = n * (min(pieces.values()) - 10.0)
+                if p is not None:
+                    options.append((best[start][0] + p, -start, best[start][1] + n))
+            top = max(options)
+            best.append((top[0], top[2]))
+        return best[-1][1]
+
+    rng = random.Random(41)
+    rows = odd_rows() + [(100 + i, " ".join("".join(rng.choice("abx") for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    got = sorted((tuple(r)[:3] for r in token_counts.count_tokens(frame(spark, rows), pieces).collect()), key=repr)
+    split = lambda t: [w for w in "".join(" " if c in "\t\n\v\f\r" else c for c in t or "").split(" ") if w]
+    counts = {w: fewest(token_counts.MARK + w) for _, t, *_ in rows for w in set(split(t))}
+    assert got == sorted(((i, len(split(t)), sum(counts[w] for w in split(t))) for i, t, *_ in rows), key=repr)
+
+
 def test_token_counts_over_texts(spark, sf_dir):
     pieces = {"▁": -3.0, "o": -2.0, "ne": -2.5, "one": -1.0, "▁one": -0.5}
     out = {r["doc_id"]: (r["n_pretokens"], r["n_tokens"]) for r in token_counts.count_tokens(frame(spark, [(1, None), (2, ""), (3, "one  one\tone"), (4, "ox")]), pieces).collect()}

@@ -70,3 +70,45 @@ def test_query_and_empty_table(spark, sf_dir):
     assert row["base_sha256"] == hashlib.sha256(b"").hexdigest()
     empty = spark.createDataFrame([], "doc_id long, text string, kind string, spans int")
     assert secrets.scan(empty).count() == 0
+
+
+def test_models_on_held_out_strings(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    seen = secrets.held_out(docs)
+    assert seen["generated"][1] >= 0.98 * seen["generated"][0] and seen["identifier"][1] <= 0.02 * seen["identifier"][0]
+    strings = secrets.labelled(docs).cache()
+    texts = [r["text"] or "" for r in docs.collect()]
+    named = {m[g] for t in texts for p, g, least in BASE.values() for m in re.finditer(p, t) if len(m[g]) >= least}
+    assert {r["s"] for r in strings.where("label = 'found'").collect()} == named and named  # all texts fit into the sample
+    copies = docs.where("text IS NOT NULL").limit(1).crossJoin(spark.range(3000)).select("doc_id", "text")
+    assert secrets.labelled(copies).where("label = 'identifier'").count() > 0
+
+
+def test_long_texts_are_sampled_too(spark):
+    rows = [(i, "some_name other_name " * 3000 + f"n{i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert secrets.labelled(docs).where("label = 'identifier'").count() > 1000
+
+
+def test_added_spans_equal_plain_python(spark, sf_dir):
+    """Runs of key characters beyond MARGIN nats a character that touch no base span, by a loop over the texts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rng = random.Random(11)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    words = ["identifier_with_words", "/usr/local/lib/something", "thequickbrownfoxjumpsover"]
+    more = [" ".join(rng.choice(words) if rng.random() < 0.5 else "".join(rng.choice(chars) for _ in range(rng.randint(5, 60))) for _ in range(20)) for _ in range(40)]
+    docs = docs.unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(TEXTS + more)], "doc_id long, text string")).cache()
+    ratios = secrets.train(spark, docs)
+
+    def added(text):
+        text = (text or "").replace("\x01", "\x02")
+        base, out = base_spans(text), []
+        for m in re.finditer(secrets.RUN, text):
+            gain = sum(ratios[(ord(a) - 32) * 95 + ord(b) - 32] for a, b in zip(m[0], m[0][1:]))
+            if gain > int(100 * secrets.MARGIN) * (len(m[0]) - 1) and not any(s < m.end() and m.start() < e for s, _, e, _ in base):
+                out.append((m.start(), 3, m.end(), "markov"))
+        return shown(sorted(base + out))
+
+    got = {r["doc_id"]: r["s"] for r in secrets.scan(docs, ratios).select("doc_id", secrets.spans_text(F.col("spans")).alias("s")).collect()}
+    want = {r["doc_id"]: added(r["text"]) for r in docs.collect()}
+    assert got == want and sum("markov" in v for v in want.values()) > 20

@@ -1,6 +1,9 @@
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.llm.storage import drop_ids, id_bitmap, shared_dir, stage
+from rasterloom.llm.storage import drop_ids, id_bitmap, remove_staged, shared_dir, stage
 from tests.llm.helpers import frame
 
 
@@ -27,3 +30,25 @@ def test_stage_writes_to_the_shared_folder(spark):
     df = stage(spark.range(10).withColumn("v", F.col("id") * 2), "probe")
     assert df.count() == 10 and df.columns == ["id", "v"]
     assert shared_dir(spark) in df.inputFiles()[0].replace("file://", "")
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="share"):
+        shared_dir(Session())
+
+
+def test_staged_tables_can_be_removed(spark):
+    path = stage(spark.range(3), "gone").inputFiles()[0].replace("file://", "")
+    assert os.path.exists(path)
+    remove_staged(spark)
+    assert not os.path.exists(path)
+    assert stage(spark.range(3), "after").count() == 3
