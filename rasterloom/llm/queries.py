@@ -183,20 +183,18 @@ ORACLE_SQL = {
         FROM placed
     """,
     "op10_suffix_dedup": """
-        WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
-        bytes AS (
-            SELECT r, i, substr(h, 2 * i + 1, 2) AS b, CASE WHEN 2 * i + 400 <= strlen(h) THEN hash(substr(h, 2 * i + 1, 400)) END AS s
-            FROM (SELECT r, h, unnest(range(strlen(h) // 2)) AS i FROM d)),
-        starts AS (SELECT s FROM bytes WHERE s IS NOT NULL GROUP BY s HAVING count(*) > 1),
-        marked AS (
-            SELECT r, i, b, max(CASE WHEN t.s IS NOT NULL THEN i END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
-            FROM bytes LEFT JOIN starts t ON bytes.s = t.s),
-        edged AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS opens FROM marked),
-        found AS (
-            SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept
-            FROM edged GROUP BY r)
-        SELECT doc_id, strlen(h)::BIGINT // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-               sha256(unhex(coalesce(kept, ''))) AS kept_sha256
-        FROM d LEFT JOIN found USING (r)
+        WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        pieces AS MATERIALIZED (
+            SELECT r, p, substr(h, 2 * p + 1, 798) AS h FROM (SELECT r, h, unnest(range(0, greatest(0, strlen(h)::BIGINT // 2 - 199), 200)) AS p FROM d)),
+        starts AS MATERIALIZED (SELECT r, p + i AS i, hash(substr(h, 2 * i + 1, 400)) AS s FROM (SELECT r, p, h, unnest(range(least(200, strlen(h)::BIGINT // 2 - 199))) AS i FROM pieces)),
+        again AS MATERIALIZED (SELECT s FROM starts GROUP BY s HAVING count(*) > 1),
+        hit AS (SELECT r, i, i > 200 + lag(i) OVER (PARTITION BY r ORDER BY i) AS opens FROM starts WHERE s IN (SELECT s FROM again)),
+        runs AS (SELECT r, i, sum(coalesce(opens, true)::BIGINT) OVER (PARTITION BY r ORDER BY i) AS n FROM hit),
+        spans AS MATERIALIZED (SELECT r, n, min(i) AS a, max(i) + 200 AS b FROM runs GROUP BY r, n),
+        gaps AS (SELECT r, n, coalesce(lag(b) OVER (PARTITION BY r ORDER BY n), 0) AS a, a AS b FROM spans UNION ALL SELECT r, max(n) + 1, max(b), 1000000000 FROM spans GROUP BY r),
+        kept AS (SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY n) AS k FROM gaps JOIN d USING (r) GROUP BY r),
+        sums AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+        SELECT doc_id, strlen(h)::BIGINT // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+        FROM d LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
     """,
 }
