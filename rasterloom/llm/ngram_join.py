@@ -14,9 +14,10 @@ is 0.8 or more. Documents with equal sets are one node. The join has four steps.
 3. Exact check of the pairs of leaves that are left, unless links found so far connect them already.
 4. Components of the links, over all neighbourhoods.
 
-A large neighbourhood is cut into blocks that fit in memory. Each block is joined together with one shared pivot; the
-nodes that this does not connect to the pivot are then sent to every block of a fitting size range. So no task holds a
-whole neighbourhood, and no pair of nodes of different components is left unexamined.
+A large neighbourhood is cut into blocks of at most BLOCK_NGRAMS n-grams and some BLOCK_SETS sets. Each block is joined
+together with one shared pivot; the nodes that this does not connect to the pivot are then sent, ASKING at a time, to
+every block of a fitting size range. So no task holds a whole neighbourhood, and no pair of nodes of different components
+is left unexamined.
 
 Null, empty and word-less texts have size 0, link with nothing and are their own component. With fewer than five words
 the whole sequence is the one n-gram. Repeated rows have equal sets and share a component. Empty tables give an empty
@@ -39,10 +40,10 @@ from rasterloom.llm.words import LOWER, SPACES, Words, buffers, chunks, mix, win
 N = 5
 #: Similarity as a ratio of integers: 100 * intersection >= 80 * union.
 PERCENT = 80
-#: n-grams of a block of a neighbourhood: 8 bytes each.
-BLOCK_NGRAMS = 1_000_000
-#: Size of the bitmap that thins documents before the exact join, as a power of two of bits.
-FILTER_BITS = 24
+#: n-grams (8 bytes each) and sets of a block of a neighbourhood, and sets that ask a block at once.
+BLOCK_NGRAMS, BLOCK_SETS, ASKING = 1_000_000, 512, 256
+#: Size of the bitmaps that thin documents, keys and n-grams before exact joins, as powers of two of bits.
+FILTER_BITS, GRAM_BITS = 24, 26
 #: Children of a node of a signature tree.
 FANOUT = 8
 
@@ -330,31 +331,67 @@ def _rows_of(sent):
     return run
 
 
+def _listed(sent, bits: int, column: int) -> object:
+    """Rows whose value in a column (a hash) has its bit in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(sent.value, np.uint8)
+        for batch in batches:
+            at = batch.column(column).to_numpy(zero_copy_only=False) & ((1 << bits) - 1)
+            yield batch.filter(pa.array(((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)))
+
+    return run
+
+
+def _listed_keys(sent):
+    """(node, key) for the keys of each node whose bits are in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(sent.value, np.uint8)
+        for batch in batches:
+            size = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size)
+            key = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            at = key & ((1 << FILTER_BITS) - 1)
+            keep = ((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(key[keep])], ["node", "key"])
+
+    return run
+
+
 def _placed(docs: DataFrame) -> DataFrame:
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long").alias("doc_id")), F.lit(1 << FILTER_BITS))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), place.alias("at"), "text").where("doc_id IS NOT NULL")
 
 
 def _neighbourhoods(docs: DataFrame, profile: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(node, part) of the nodes that may link with others."""
+    """(node, part) of the nodes that may link with others.
+
+    Keys and n-grams that several nodes have are found by aggregates that combine before they move, and met again by joins
+    whose hot keys Spark can split. Bitmaps of fixed size keep most rows out of these joins; they lose none, and where
+    they fill up, the joins alone decide.
+    """
     spark = docs.sparkSession
-    rows = profile.where("size(keys) > 0").select("node", F.explode("keys").alias("key"))
-    w = Window.partitionBy("key")
-    shared = rows.withColumn("low", F.min("node").over(w)).withColumn("high", F.max("node").over(w)).where("low <> high")
+    several = [F.min("node").alias("low"), F.max("node").alias("high")]
+    keyed = profile.where("size(keys) > 0").select("node", "keys")
+    met = keyed.select("node", F.explode("keys").alias("key")).groupBy("key").agg(*several).where("low <> high").select("key")
+    met = stage(met, "keys")
+    sent = spark.sparkContext.broadcast(id_bitmap(met, "key", FILTER_BITS, hashed=True))
+    shared = keyed.mapInArrow(_listed_keys(sent), "node long, key long").join(met, "key", "left_semi")
     candidates = stage(shared.select("node").distinct().join(firsts, "node"), "candidates")
     bitmap = spark.sparkContext.broadcast(id_bitmap(candidates, "doc_id", FILTER_BITS))
-    grams = _placed(docs).mapInArrow(_rows_of(bitmap), "gram long, node long, n int")
-    # Counts are combined before they move, and the join is one whose hot keys Spark can split. n-grams of one node come
-    # first in the order; they take up places of the prefix but route nowhere.
+    grams = stage(_placed(docs).mapInArrow(_rows_of(bitmap), "gram long, node long, n int"), "grams")
+    # n-grams of one node come first in the order; they take up places of the prefix but route nowhere.
     counts = stage(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
-    grams = grams.join(counts, "gram")
+    sent = spark.sparkContext.broadcast(id_bitmap(counts, "gram", GRAM_BITS, hashed=True))
+    grams = grams.mapInArrow(_listed(sent, GRAM_BITS, 0), "gram long, node long, n int").join(counts, "gram")
     by_node = Window.partitionBy("node").orderBy("df", "gram")
     grams = grams.withColumn("rank", F.dense_rank().over(by_node))
     kinds = F.max("rank").over(Window.partitionBy("node"))
     need = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
     prefix = grams.withColumn("kinds", kinds).where(F.col("rank") + F.col("n") - F.col("kinds") <= need)
     prefix = stage(prefix.select("gram", "node"), "prefix")
-    lows = stage(prefix.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("gram", "low"), "lows")
+    lows = stage(prefix.groupBy("gram").agg(*several).where("low <> high").select("gram", "low"), "lows")
     edges = prefix.join(lows, "gram").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     return components(edges).select("node", F.col("label").alias("part"))
 
@@ -367,8 +404,8 @@ def _labels(docs: DataFrame, profile: DataFrame) -> DataFrame:
     wanted = stage(parts.join(firsts, "node"), "wanted")
     bitmap = spark.sparkContext.broadcast(id_bitmap(wanted, "doc_id", FILTER_BITS))
     found = _placed(docs).mapInArrow(_sets_of(bitmap, FILTER_BITS), "doc_id long, node long, grams binary")
-    sized = wanted.groupBy("part").agg(F.sum("n").alias("total"))
-    blocks = (F.floor(F.col("total") / BLOCK_NGRAMS) + 1).cast("int")
+    sized = wanted.groupBy("part").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets"))
+    blocks = (F.floor(F.greatest(F.col("total") / BLOCK_NGRAMS, F.col("sets") / BLOCK_SETS)) + 1).cast("int")
     wanted = wanted.join(sized.select("part", blocks.alias("blocks")), "part")
     members = found.join(wanted, ["doc_id", "node"])
     members = stage(members.dropDuplicates(["node"]).select("part", "node", "n", "blocks", "grams"), "members")
@@ -392,13 +429,15 @@ def _labels(docs: DataFrame, profile: DataFrame) -> DataFrame:
     # What the pivots did not connect goes to every block whose sizes fit, and is compared with all that is there.
     ranges = plain.where("blocks > 1").groupBy("part", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     sent = rest.alias("r").join(ranges.alias("g"), "part").where("100 * g.low <= 125 * r.n AND 100 * r.n <= 125 * g.high")
-    asking = sent.select("part", "block", "node", F.lit(True).alias("probe"), "grams", F.spark_partition_id().alias("_p"))
-    chunked = asking.withColumn("slice", F.pmod(F.xxhash64("node", F.lit("slice")), F.lit(64)).cast("int")).drop("_p")
-    there = plain.where("blocks > 1").join(sent.select("part", "block").distinct(), ["part", "block"], "left_semi")
-    slices = chunked.select("part", "block", "slice").distinct()
-    there = there.withColumn("probe", F.lit(False)).join(slices, ["part", "block"])
-    name = (F.col("block") * 64 + F.col("slice")).cast("int")
-    both = chunked.withColumn("block", name).select(cols).unionByName(there.withColumn("block", name).select(cols))
+    asking = stage(sent.select("part", "block", "node", F.lit(True).alias("probe"), "grams"), "asking")
+    # As many copies of a block as there are lots of sets that ask it.
+    lots = asking.groupBy("part", "block").agg(F.ceil(F.count(F.lit(1)) / ASKING).cast("int").alias("lots"))
+    asking = asking.join(lots, ["part", "block"]).withColumn("lot", F.pmod(F.xxhash64("node", F.lit("lot")), F.col("lots").cast("long")).cast("int"))
+    there = plain.where("blocks > 1").withColumn("probe", F.lit(False)).join(lots, ["part", "block"])
+    there = there.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    both = asking.select(*cols, "lot").unionByName(there.select(*cols, "lot"))
+    name = F.xxhash64("block", "lot").alias("block")
+    both = both.select("part", name, "node", "probe", "grams")
     return components(stage(links.unionByName(_block_links(both)), "links"))
 
 

@@ -313,8 +313,12 @@ def near_corpus(seed=4):
     return docs
 
 
-@pytest.mark.parametrize("block", [ngram_join.BLOCK_NGRAMS, 60])
-def test_near_duplicates_equal_brute_force(spark, block):
+@pytest.mark.parametrize("block", [ngram_join.BLOCK_NGRAMS, 60, 0])
+def test_near_duplicates_equal_brute_force(spark, block, monkeypatch):
+    if not block:  # many small blocks, asked by two sets at a time
+        block = ngram_join.BLOCK_NGRAMS
+        monkeypatch.setattr(ngram_join, "BLOCK_SETS", 2)
+        monkeypatch.setattr(ngram_join, "ASKING", 2)
     docs = near_corpus()
     old, ngram_join.BLOCK_NGRAMS = ngram_join.BLOCK_NGRAMS, block
     try:
