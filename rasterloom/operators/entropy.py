@@ -1,16 +1,13 @@
 """Bit-plane block coding with the adaptive binary arithmetic coder of the public standard.
 
-The coder is sequential within a block, so it runs in Arrow batch functions, one row per block; blocks are independent
-and spread over tasks like any other rows.
+The coder is sequential within a block. This module codes one block at a time, with all styles; `operators.blocks` takes
+many blocks of a batch through the same decisions at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
-
 from rasterloom.functions.contexts import SIGN_CONTEXTS
 
 #: Probability states of the coder (estimate, next if more probable, next if less probable, switch).
@@ -208,6 +205,20 @@ def segment_lengths(passes: int, style: frozenset[str]) -> list[int]:
     return out
 
 
+def zero_context(band: str, h: int, v: int, d: int) -> int:
+    """Context of a coefficient with so many significant neighbours beside, above or below, and across corners."""
+    if band == "HH":
+        s = h + v
+        return 8 if d >= 3 else (7 if s else 6) if d == 2 else 3 + min(s, 2) if d == 1 else min(s, 2)
+    if band == "HL":
+        h, v = v, h
+    if h == 2:
+        return 8
+    if h == 1:
+        return 7 if v else 6 if d else 5
+    return 2 + v if v else min(d, 2)
+
+
 class BlockCoder:
     """The three passes over a block of signed coefficients, for encoding and for decoding.
 
@@ -236,17 +247,7 @@ class BlockCoder:
         return h, v, d
 
     def _zero_context(self, y: int, x: int) -> int:
-        h, v, d = self._near(y, x)
-        if self.band == "HH":
-            s = h + v
-            return 8 if d >= 3 else (7 if s else 6) if d == 2 else 3 + min(s, 2) if d == 1 else min(s, 2)
-        if self.band == "HL":
-            h, v = v, h
-        if h == 2:
-            return 8
-        if h == 1:
-            return 7 if v else 6 if d else 5
-        return 2 + v if v else min(d, 2)
+        return zero_context(self.band, *self._near(y, x))
 
     def _become(self, y: int, x: int, plane: int, value: int) -> None:
         """Code the sign of a coefficient that turns significant."""
@@ -413,32 +414,3 @@ def encode_block(values: list[list[int]], band: str = "LL") -> tuple[int, bytes]
 
 def decode_block(width: int, height: int, planes: int, data: bytes, band: str = "LL") -> list[list[int]]:
     return decode_segments(width, height, planes, [data], band)
-
-
-def encode_blocks(blocks: DataFrame, key: str, block: str) -> DataFrame:
-    """(key, width, height, planes, data) from rows of blocks (arrays of rows of whole numbers)."""
-    kind = blocks.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(len(v[0]), len(v), *encode_block(v)) for v in batch.column(1).to_pylist()]
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            types = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], [key, "width", "height", "planes", "data"]
-            )
-
-    return blocks.select(key, block).mapInArrow(run, f"{key} {kind}, width int, height int, planes int, data binary")
-
-
-def decode_blocks(coded: DataFrame, key: str) -> DataFrame:
-    """(key, plane) from the columns of encode_blocks."""
-    kind = coded.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*[batch.column(i).to_pylist() for i in range(1, 5)], strict=True)
-            planes = [decode_block(w, h, p, d) for w, h, p, d in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(planes, pa.list_(pa.list_(pa.int64())))], [key, "plane"])
-
-    return coded.select(key, "width", "height", "planes", "data").mapInArrow(run, f"{key} {kind}, plane array<array<long>>")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterloom.operators import codestream, entropy, rate, wavelet
+from rasterloom.operators import blocks, codestream, rate, wavelet
 from rasterloom.plans.registry import PLANES, query
 from rasterloom.sources import raster_files
 from rasterloom.sources.signals import plane_samples, planes, read_table, spread
@@ -18,8 +18,8 @@ from rasterloom.streaming import delivery
 @query(f"WITH {PLANES} SELECT vec_id, y, x, v FROM sig")
 def q_block_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """5/3 analysis, bit-plane coding, decoding and synthesis of every plane."""
-    coded = entropy.encode_blocks(spread(wavelet.analyse_planes(planes(spark, sf_dir))), "vec_id", "plane")
-    return plane_samples(wavelet.synthesise_planes(entropy.decode_blocks(coded, "vec_id")))
+    coded = blocks.encode_blocks(spread(wavelet.analyse_planes(planes(spark, sf_dir))), "vec_id", "plane")
+    return plane_samples(wavelet.synthesise_planes(blocks.decode_blocks(coded, "vec_id")))
 
 
 @query(f"WITH {PLANES} SELECT vec_id, y, x, v, 8 AS width, 8 AS height FROM sig")

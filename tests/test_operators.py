@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.functions import contexts, protocol, samples
-from rasterloom.operators import entropy, grid, lookup, metrics, packets, ranges, wavelet
+from rasterloom.operators import blocks, entropy, grid, lookup, metrics, packets, ranges, wavelet
 from rasterloom.plans import catalog
 from rasterloom.sources import boxes, raster_files
 from rasterloom.streaming import delivery
@@ -149,6 +149,26 @@ def test_block_coding_round_trip(band):
             assert entropy.decode_block(w, h, planes, data, band) == v
 
 
+def test_blocks_in_step_equal_single_blocks():
+    rng = np.random.default_rng(7)
+    for h, w, n in [(8, 8, 20), (5, 7, 15), (1, 1, 14), (9, 2, 13), (20, 33, 3)]:
+        for band in ("LL", "LH", "HL", "HH"):
+            v = np.round(rng.standard_normal((n, h, w)) * rng.choice([0, 0.3, 2, 60, 9000], (n, 1, 1))).astype(np.int64)
+            planes, data = blocks.encode_many(v, band)
+            assert list(zip(planes.tolist(), data, strict=True)) == [entropy.encode_block(x.tolist(), band) for x in v]
+            assert (blocks.decode_many(w, h, planes, data, band) == v).all()
+
+
+def test_blocks_of_mixed_shapes(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.integers(-50, 50, (h, w)).tolist()) for i in range(40) for h, w in [[(2, 3), (5, 1), (4, 4)][i % 3 if i < 38 else 2]]]
+    rows.append((40, [[0, 0], [0, 0]]))
+    df = spark.createDataFrame(rows, "id long, plane array<array<long>>").coalesce(1)
+    coded = blocks.encode_blocks(df, "id", "plane")
+    assert {r.id: r.plane for r in blocks.decode_blocks(coded, "id").collect()} == dict(rows)
+    assert blocks.encode_blocks(df.limit(0), "id", "plane").count() == 0
+
+
 @pytest.mark.parametrize("style", [("bypass",), ("terminate",), ("bypass", "terminate"), ("reset",), ("causal",), ("segmentation",), ("bypass", "reset", "causal", "segmentation")])
 def test_block_styles_round_trip(style):
     rng = random.Random(9)
