@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from rasterloom.operators import codestream, rate
+from rasterloom.operators import codestream, entropy, rate
 
 
 def image(h, w, c, bits=8, seed=0):
@@ -72,10 +72,10 @@ def test_refusals():
 
 
 def test_rate_search_on_a_known_curve():
-    size = lambda c: (70_000 - c) // 100
-    pick, most, looks = rate.search(size, 300)
-    assert most == size(pick) == 300 and looks <= rate.VISITS
-    assert rate.search(size, 10) == (rate.COARSEST, 44, 1)
+    size = lambda rows, c: (70_000 - c) // 100
+    (pick,), (most,), (looks,) = rate.search(size, 1, 300)
+    assert most == size(None, pick) == 300 and looks <= rate.VISITS
+    assert [x.tolist() for x in rate.search(size, 1, 10)] == [[rate.COARSEST], [44], [1]]
     assert rate.undershoot_allowed(100) == 32 and rate.undershoot_allowed(50_000) == 100
 
 
@@ -84,3 +84,33 @@ def test_rate_search_of_planes(spark):
     df = spark.createDataFrame([(k, (rng.standard_normal((8, 8)) * 60).tolist()) for k in range(4)], "k long, plane array<array<double>>")
     for r in rate.search_planes(df, "k", "plane", 40).collect():
         assert r["size"] <= 40 and r["looks"] <= rate.VISITS and r["success"]
+
+
+def test_rate_searches_in_step_equal_a_loop(spark):
+    """Every look at every plane by itself, with the coder of single blocks."""
+    rng = np.random.default_rng(4)
+    scales = [0, 1, 60, 60, 900, 1e9]
+    planes = [(rng.standard_normal((h, 8)) * s).tolist() for s in scales for h in (8, 3)]
+
+    def size_of(plane, c):
+        q = [[int(abs(v) / rate.step_of(c, 8)) * (1 if v > 0 else -1) for v in row] for row in plane]
+        return None if max(abs(v) for row in q for v in row) >= rate.LARGEST else len(entropy.encode_block(q)[1])
+
+    for budget in (0, 12, 40):
+        want = {}
+        for k, plane in enumerate(planes):
+            seen = {rate.COARSEST: size_of(plane, rate.COARSEST)}
+            low, high = rate.FINEST, rate.COARSEST
+            fits = lambda s: s is not None and s <= budget
+            looks = 1
+            while fits(seen[rate.COARSEST]) and low <= high and looks < rate.VISITS:
+                c = (low + high) // 2
+                seen.setdefault(c, size_of(plane, c))
+                low, high = (low, c - 1) if fits(seen[c]) else (c + 1, high)
+                looks += 1
+            allowed = {c: s for c, s in seen.items() if fits(s)} or {rate.COARSEST: seen[rate.COARSEST] or 0}
+            best = max(allowed.values())
+            want[k] = (next(c for c, s in allowed.items() if s == best), best, looks)
+        df = spark.createDataFrame(list(enumerate(planes)), "k long, plane array<array<double>>").coalesce(1)
+        got = {r.k: (r.coarseness, r["size"], r.looks) for r in rate.search_planes(df, "k", "plane", budget).collect()}
+        assert got == want
