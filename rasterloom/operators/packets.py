@@ -47,8 +47,12 @@ def assemble(pieces: DataFrame, keys: list[str], order: str, data: str) -> DataF
 
 
 def mq_or_raw(segments: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """By block, bytes of arithmetic and of raw segments, told apart by the pass each begins at."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    """By block, bytes of arithmetic and of raw segments, told apart by the pass each begins at.
+
+    Segments of equal `order` go by passes, then size, so that rows alone decide the sums; nulls come last, as in the SQL.
+    """
+    by = [F.col(c).asc_nulls_last() for c in (order, "passes", "size")]
+    w = Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     first = segments.withColumn("first", F.coalesce(F.sum("passes").over(w), F.lit(0)))
     raw = (F.col("first") >= 10) & (F.col("first") % 3 != 0)
     return first.groupBy(*keys).agg(

@@ -437,3 +437,24 @@ def test_volumes_and_orders(spark):
     vols = [(0, 1, 2, 0, 1), (1, 2, 2, 0, 2)]
     out = packets.first_volume(df, vols, ["img", "layer", "resolution", "component"]).collect()
     assert len(out) == 8 and {r["volume"] for r in out if r["resolution"] == 0 and r["component"] == 0} == {0}
+
+
+LINES = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long"
+
+
+def test_segments_of_one_place_go_by_passes_and_size(spark, tmp_path):
+    rows, want = [], {}
+    for k in range(40):
+        # 9 passes, then two segments of one pass at one place: the first begins at 9 (arithmetic), the other at 10 (raw)
+        rows += [(k, 1, 7, 4), (k, 1, 8, 3)]
+        a, b = [(k, 2, 1000 + k, 100), (k, 2, 1001 + k, 0)] if k % 2 else [(k, 3, k, 0), (k, 2, 10000 + k, 0)]
+        rows += [a, b]
+        want[k] = (7 + 8 + a[2], b[2])
+    for n, data in enumerate((rows, rows[::-1])):
+        spark.createDataFrame(data, LINES).coalesce(1).write.parquet(f"{tmp_path}/{n}/lineitem.parquet")
+        got = catalog.QUERIES["q_segment_classes"](spark, f"{tmp_path}/{n}").collect()
+        assert {r["l_orderkey"]: (r["mq_bytes"], r["raw_bytes"]) for r in got} == want
+    tied = "block long, at long, passes long, size long"
+    for data in ([(0, 0, 2, 9), (0, 0, 9, 5), (0, 0, 9, 4)], [(0, 0, 9, 4), (0, 0, 9, 5), (0, 0, 2, 9)]):
+        one = packets.mq_or_raw(spark.createDataFrame(data, tied).coalesce(1), ["block"], "at").first()
+        assert (one["mq_bytes"], one["raw_bytes"]) == (9 + 4, 5)

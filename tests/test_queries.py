@@ -63,3 +63,14 @@ def test_entry_has_rows(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_segments_without_a_place_come_last_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, 1, 7, 4), (1, 2, 8, 4), (1, None, 9, 1), (2, 1, 7, 4), (2, 2, 8, 4), (2, 3, 5, None), (3, 1, 6, 4), (3, 2, 7, 4), (3, 3, None, 2), (None, 1, 1, 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+        want = con.execute(catalog.ORACLE_SQL["q_segment_classes"]).fetchall()
+    assert as_sets(catalog.QUERIES["q_segment_classes"](spark, str(tmp_path)).collect()) == as_sets(want)
